@@ -18,61 +18,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import partitions
+from ledgerflow.llm.words import scan
 
 EXACT, LIKE = 64, 128
 LANES = EXACT + LIKE
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[9, 10, 11, 12, 13, 32]] = True
-
-
-class _Powers:
-    """Powers of an odd base modulo 2^64 and of its inverse, grown when a longer text comes."""
-
-    def __init__(self) -> None:
-        self.up = self.down = np.ones(1, dtype=np.uint64)
-
-    def upto(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, 2 * len(self.up), 1 << 16)
-            inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
-            for name, base in (("up", _BASE), ("down", inverse)):
-                steps = np.full(size, base, dtype=np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-        return self.up, self.down
-
-
-_powers = _Powers()
-
-
-def mix(x: np.ndarray) -> np.ndarray:
-    """Finaliser that spreads 64-bit values over all bits."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
 
 def _like(data: bytes) -> np.ndarray:
     """Signed sketch of the three-word shingles that lie within one paragraph; shorter paragraphs give one shingle."""
     if not data:
         return np.zeros(LIKE, dtype=np.int64)
-    b = np.frombuffer(data, dtype=np.uint8)
-    space = _SPACE[b]
-    edge = np.flatnonzero(np.diff(np.concatenate(([True], space, [True])).view(np.int8)))
-    start, end = edge[::2], edge[1::2]
+    b, start, end, roll = scan(data)
     if not len(start):
         return np.zeros(LIKE, dtype=np.int64)
-    up, down = _powers.upto(len(b) + 1)
-    total = np.zeros(len(b) + 1, dtype=np.uint64)
-    np.cumsum((b.astype(np.uint64) + np.uint64(1)) * up[: len(b)], out=total[1:])
     line = np.cumsum(b == 10)[start]
     first = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1])))
     last_of_line = np.repeat(np.concatenate((first[1:], [len(start)])) - 1, np.diff(np.concatenate((first, [len(start)]))))
     at = np.arange(len(start))
     keep = (at + 2 <= last_of_line) | np.isin(at, first)
     s, e = start[keep], end[np.minimum(at + 2, last_of_line)[keep]]
-    h = mix((total[e] - total[s]) * down[s] + (e - s).astype(np.uint64))
+    h = roll.of(s, e)
     lane = (h >> np.uint64(57)).astype(np.int64) % LIKE
     return np.bincount(lane, weights=1.0 - 2.0 * (h & np.uint64(1)), minlength=LIKE).astype(np.int64)
 

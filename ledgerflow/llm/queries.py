@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import fingerprint, mixing, packing, sharding, simhash
+from ledgerflow.llm import fingerprint, html, mixing, packing, quality, sharding, simhash, suffix, toxicity
 from ledgerflow.llm.common import table
 
 
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_with_edit(table(spark, sf_dir, "documents"))
 
@@ -26,12 +30,27 @@ def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_p", 6).alias("probability"), F.col("_kept").alias("kept"))
 
 
+def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+QUERIES = (op2_html_extraction, op3_document_fingerprints, op4_simhash_near_dedup, op5_sharding, op6_source_mixing, op7_quality_classifier, op8_suffix_array_dedup, op9_toxicity, op10_sequence_packing)
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_document_fingerprints, op4_simhash_near_dedup, op5_sharding, op6_source_mixing, op10_sequence_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:

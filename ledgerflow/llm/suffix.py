@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerflow.llm.common import cut, partitions
+from ledgerflow.llm.common import cut, partitions, slices
 from ledgerflow.llm.words import Rolling, scan
 
 MIN, GRAM = 50, 25
@@ -60,7 +60,7 @@ def retained(grams: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         keys, gram, at = [], [], []
         for t, text in zip(batch.column("t").to_numpy(), batch.column("text").to_pylist(), strict=True):
             _, g = hashes(text)
@@ -74,7 +74,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """For suffixes in short lists their two contexts; for those in long lists all windows of MIN words around them."""
-    for batch in batches:
+    for batch in slices(batches):
         out: list[tuple] = []
         windows: list[tuple[np.ndarray, np.ndarray, int, int]] = []
         for t, d, text, spots in zip(*(batch.column(c).to_pylist() for c in ("t", "d", "text", "spots")), strict=True):
@@ -82,8 +82,8 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             short = (words >> np.uint64(32)).astype("<u4")
             wide: list[int] = []
             for spot in spots:
-                at = spot["at"]
-                if spot["long"]:
+                at = spot >> 1
+                if spot & 1:
                     wide.append(at)
                     continue
                 left = short[max(at - SIDE, 0) : at][::-1].tobytes()
@@ -191,7 +191,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     rows = keyed(docs.select("doc_id", "text")).where(F.octet_length("text") >= 2 * MIN - 1)
     suffixes = rows.select("t", "text").mapInArrow(_suffixes, "h long, t long, at int")
     lists = suffixes.groupBy("h").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("h", (F.col("n") > LONG).alias("long"))
-    spots = suffixes.join(lists, "h").groupBy("t").agg(F.collect_set(F.struct("at", "long")).alias("spots"))  # bounded by a text's length
+    spots = suffixes.join(lists, "h").groupBy("t").agg(F.collect_set(F.col("at") * 2 + F.col("long").cast("int")).alias("spots"))  # bounded by a text's length
     reps = rows.groupBy("t").agg(F.min("d").alias("d"))
     wanted = reps.join(spots, "t")
     texts = rows.join(wanted, ["t", "d"]).withColumn("copy", F.row_number().over(Window.partitionBy("t", "d").orderBy("d"))).where("copy = 1")

@@ -21,9 +21,16 @@ MOST_BROADCAST_CELLS = 100_000
 NONE = ""
 
 
+def _without(text: Column, chars: str) -> Column:
+    """The text without these characters; a search for bytes, many times faster than translate()."""
+    for c in chars:
+        text = F.replace(text, F.lit(c), F.lit(""))
+    return text
+
+
 def tokens_of(text: Column) -> Column:
     """Blank-separated tokens, at least 1 for a text that is not empty; null and empty texts have none."""
-    gaps = F.octet_length(text) - F.octet_length(F.translate(text, " \n", ""))
+    gaps = F.octet_length(text) - F.octet_length(_without(text, " \n"))
     return F.when(F.length(text) > 0, gaps + 1).otherwise(0).cast("long")
 
 
@@ -31,14 +38,14 @@ def topic_of(text: Column) -> Column:
     """The form of a text, as its topic: table, symbols, shouting, note, article, long, or empty."""
     n = F.length(text)
 
-    def share(chars: str) -> Column:
-        return (n - F.length(F.translate(text, chars, ""))) / n
+    def share(rest: Column) -> Column:
+        return (n - F.length(rest)) / n
 
     return (
         F.when(F.coalesce(n, F.lit(0)) == 0, "empty")
-        .when(share("|") > 0.03, "table")
-        .when(share("*#$%&") > 0.05, "symbols")
-        .when(share("ABCDEFGHIJKLMNOPQRSTUVWXYZ") > 0.3, "shouting")
+        .when(share(_without(text, "|")) > 0.03, "table")
+        .when(share(_without(text, "*#$%&")) > 0.05, "symbols")
+        .when(share(F.regexp_replace(text, "[A-Z]+", "")) > 0.3, "shouting")
         .when(n < 600, "note")
         .when(n < 5000, "article")
         .otherwise("long")

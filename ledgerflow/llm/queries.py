@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerflow.llm import fingerprint, html, mixing, packing, quality, sharding, simhash, suffix, toxicity
+from ledgerflow.llm import fingerprint, html, mixing, neighbours, packing, quality, sharding, simhash, suffix, toxicity
 from ledgerflow.llm.common import table
 
 
+def op1_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(table(spark, sf_dir, "pages"))
 
@@ -46,7 +50,7 @@ def op10_sequence_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
-QUERIES = (op2_html_extraction, op3_document_fingerprints, op4_simhash_near_dedup, op5_sharding, op6_source_mixing, op7_quality_classifier, op8_suffix_array_dedup, op9_toxicity, op10_sequence_packing)
+QUERIES = (op1_nearest_neighbours, op2_html_extraction, op3_document_fingerprints, op4_simhash_near_dedup, op5_sharding, op6_source_mixing, op7_quality_classifier, op8_suffix_array_dedup, op9_toxicity, op10_sequence_packing)
 
 
 def queries() -> dict:

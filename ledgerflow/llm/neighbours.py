@@ -20,11 +20,11 @@ from pyspark.sql.window import Window
 
 from ledgerflow.llm.common import cut, partitions
 
-K = 24
-REVERSE = 24
+K = 32
+REVERSE = 32
 ORDERS, RUN, PLANES = 4, 1024, 8
 ROUNDS = 4
-BEAM, STEP = 96, 32
+BEAM, STEP = 192, 64
 TOP = 10
 SEED = 5
 
@@ -187,14 +187,14 @@ def rounded(nodes: DataFrame) -> DataFrame:
     return nodes.select("id", "vec").mapInArrow(run, "id long, q binary, keys array<double>")
 
 
-def graph(nodes: DataFrame, rounds: int = ROUNDS) -> DataFrame:
+def graph(nodes: DataFrame, rounds: int | None = None) -> DataFrame:
     """(u, v, d): each node's K nearest found, nearest first. nodes: what rounded() gives, already cut."""
     count = nodes.count()
     placed = nodes.select("id", "q", F.posexplode("keys").alias("tree", "key"))
     n = max(1, -(-count * ORDERS // (8 * RUN)))
     ordered = placed.repartitionByRange(n, "tree", "key").sortWithinPartitions("tree", "key", "id")
     lists = cut(_top(ordered.select("tree", "id", "q").mapInArrow(_runs, _EDGE), K))
-    for i in range(rounds):
+    for i in range(ROUNDS if rounds is None else rounds):
         kth = F.when(F.size("d") >= K, F.element_at("d", -1)).otherwise(float("inf")).cast("float")
         state = lists.select(F.col("u").alias("m"), kth.alias("kth")).join(nodes.select(F.col("id").alias("m"), "q"), "m")
         joined = _adjacent(lists, i).join(state, "m").select("c", "m", "q", "kth")
@@ -230,8 +230,9 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield _edges(np.concatenate(us), np.concatenate(vs), np.concatenate(ds))
 
 
-def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int = BEAM, step: int = STEP) -> DataFrame:
+def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int | None = None, step: int | None = None) -> DataFrame:
     """(u, v, d): for each query node u of (u), the `beam` nearest nodes its walk found. The walk starts at u."""
+    beam, step = BEAM if beam is None else beam, STEP if step is None else step
     n = partitions(nodes.sparkSession)
     vectors = nodes.select(F.col("id").alias("m"), "q")
     near = _adjacent(lists, -1).join(vectors, "m").select("c", "m", "q").repartition(n, "c").sortWithinPartitions("c").mapInArrow(_packed, "c long, ms array<long>, qs binary")

@@ -60,16 +60,24 @@ def retained(grams: np.ndarray) -> np.ndarray:
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(h, t, at): a text's retained suffixes, those with the same first words in one row."""
     for batch in slices(batches):
-        keys, gram, at = [], [], []
+        keys, gram, at, ends = [], [], [], [np.zeros(1, np.int64)]
         for t, text in zip(batch.column("t").to_numpy(), batch.column("text").to_pylist(), strict=True):
             _, g = hashes(text)
             p = retained(g)
-            keys.append(np.full(len(p), t, np.int64))
-            gram.append(g[p].view(np.int64))
+            p = p[np.argsort(g[p], kind="stable")]
+            first = np.flatnonzero(np.concatenate(([True], g[p][1:] != g[p][:-1]))) if len(p) else p
+            keys.append(np.full(len(first), t, np.int64))
+            gram.append(g[p[first]].view(np.int64))
             at.append(p.astype(np.int32))
+            ends.append(np.concatenate((first[1:], [len(p)])) + ends[-1][-1] if len(p) else np.zeros(0, np.int64))
+            if not len(p):
+                ends.pop()
         if keys:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (gram, keys, at)], names=["h", "t", "at"])
+            offsets = pa.array(np.concatenate(ends).astype(np.int32))
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(at)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gram)), pa.array(np.concatenate(keys)), lists], names=["h", "t", "at"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -189,9 +197,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = keyed(docs.select("doc_id", "text")).where(F.octet_length("text") >= 2 * MIN - 1)
-    suffixes = rows.select("t", "text").mapInArrow(_suffixes, "h long, t long, at int")
-    lists = suffixes.groupBy("h").agg(F.count("*").alias("n"), F.min("t").alias("t0"), F.max("t").alias("t1")).where("t0 <> t1").select("h", (F.col("n") > LONG).alias("long"))
-    spots = suffixes.join(lists, "h").groupBy("t").agg(F.collect_set(F.col("at") * 2 + F.col("long").cast("int")).alias("spots"))  # bounded by a text's length
+    # one row for each text and first words: copies of a text meet before they are shuffled
+    suffixes = rows.select("t", "text").mapInArrow(_suffixes, "h long, t long, at array<int>").groupBy("h", "t").agg(F.any_value("at").alias("at"))
+    lists = suffixes.groupBy("h").agg(F.count("*").alias("texts"), F.sum(F.size("at")).alias("n")).where("texts > 1").select("h", (F.col("n") > LONG).alias("long"))
+    spot = F.transform("at", lambda x: x * 2 + F.col("long").cast("int"))
+    spots = suffixes.join(lists, "h").groupBy("t").agg(F.flatten(F.collect_list(spot)).alias("spots"))  # bounded by a text's length
     reps = rows.groupBy("t").agg(F.min("d").alias("d"))
     wanted = reps.join(spots, "t")
     texts = rows.join(wanted, ["t", "d"]).withColumn("copy", F.row_number().over(Window.partitionBy("t", "d").orderBy("d"))).where("copy = 1")

@@ -49,6 +49,14 @@ def text_key(text: Column) -> list[Column]:
     return [F.xxhash64(data).alias("text_h"), F.crc32(data).alias("text_crc32"), F.octet_length(data).cast("long").alias("text_bytes")]
 
 
-def document_columns(docs: DataFrame) -> list[str]:
-    """The columns of the documents table, without what a caller has added."""
-    return [c for c in ("doc_id", "text", "lang", "source", "n_chars") if c in docs.columns]
+def set_aside(df: DataFrame, *needed: str) -> tuple[DataFrame, list[str]]:
+    """The rows with all columns under names _0, _1, … and copies of those needed under their own, so that names which an
+    operator adds cannot clash with the input's; and the new names in the order of the old."""
+    names = [f"_{i}" for i in range(len(df.columns))]
+    plain = df.toDF(*names)
+    return plain.select(*names, *[F.col(names[df.columns.index(c)]).alias(c) for c in needed]), names
+
+
+def restored(df: DataFrame, names: list[str], columns: list[str]) -> DataFrame:
+    """The columns set aside, under their old names."""
+    return df.select(*[F.col(n).alias(c) for n, c in zip(names, columns, strict=True)])

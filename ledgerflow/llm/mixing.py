@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import cut
+from ledgerflow.llm.common import cut, restored, set_aside
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Without given targets a margin's target is its observed share to this power, made to sum to 1: 1 keeps, 0 levels.
@@ -100,19 +100,21 @@ def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rat
 
     Null or empty texts have no tokens, so no margin depends on them: they have probability 0. Null sources or languages
     are a value of their own. Rows with equal ids are kept or dropped together if their cells agree. Columns of the
-    input stay as they are. No rows give no rows.
+    input stay as they are, but for those with one of the four names. No rows give no rows.
     """
-    rows = weighed(docs)
+    plain, names = set_aside(docs, "doc_id", "text", "source", "lang")
+    rows = weighed(plain)
     keys = {"_source": "source", "_lang": "lang", "_topic": "topic"}
     cells = rows.groupBy(*[F.col(k).alias(v) for k, v in keys.items()]).agg(F.sum("_tokens").alias("tokens"))
     chances = rake(cells, targets, rate).select(*[F.col(v).alias(k) for k, v in keys.items()], F.col("p").alias("_p"))
     small = chances.limit(MOST_BROADCAST_CELLS + 1).count() <= MOST_BROADCAST_CELLS  # else the join shuffles
-    joined = rows.join(F.broadcast(chances) if small else chances, list(keys), "left")
-    p = F.coalesce(F.col("_p"), F.lit(0.0))
-    kept = joined.withColumn("_p", p).withColumn("_kept", uniform(F.col("doc_id")) < F.col("_p"))
-    return kept.select(*docs.columns, "_tokens", "_topic", "_p", "_kept")
+    joined = rows.join(F.broadcast(chances) if small else chances, list(keys), "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
+    own = {"_tokens": F.col("_tokens"), "_topic": F.col("_topic"), "_p": F.col("_p"), "_kept": uniform(F.col("doc_id")) < F.col("_p")}
+    back = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in own]
+    return joined.select(*back, *[c.alias(k) for k, c in own.items()])
 
 
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
     """The sampled documents, with the input's columns."""
-    return mix(docs, targets, rate).where("_kept").select(*docs.columns)
+    plain, names = set_aside(docs, "doc_id", "text", "source", "lang")
+    return restored(mix(plain, targets, rate).where("_kept"), names, docs.columns)

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.llm.common import slices
 from ledgerflow.llm.words import scan
 
 #: At most so many labelled documents, those with the smallest hashes of their ids, are learned from.
@@ -154,7 +155,7 @@ def score(texts: list[str | None], model: dict[str, np.ndarray]) -> np.ndarray:
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         rows = [lines(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x.astype("<f4").tobytes() for x, _ in rows], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in rows], pa.binary())], names=["label", "x", "w"])
 
@@ -187,7 +188,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     model = learn(docs, labels, sample)
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1000):
             s = score(batch.column("text").to_pylist(), model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(s, pa.float64()), pa.array((s >= THRESHOLD).astype(np.int32))], names=["doc_id", "held_out", "score", "predicted"])
 

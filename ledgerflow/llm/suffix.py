@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ledgerflow.llm.common import cut, partitions, slices
+from ledgerflow.llm.common import cut, partitions, set_aside, slices
 from ledgerflow.llm.words import Rolling, scan
 
 MIN, GRAM = 50, 25
@@ -257,11 +257,12 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
         return pd.Series([cut_out(t, [(x["start"], x["end"]) for x in s]) if len(s) else t for t, s in zip(text, spans, strict=True)], dtype=object)
 
-    spans = repeated_spans(docs).unionByName(copies(docs)).groupBy(F.col("t").alias("_t"), F.col("d").alias("_d")).agg(F.collect_list(F.struct("start", "end")).alias("_spans"))
-    columns = docs.columns
-    key = {"_t": F.xxhash64(F.coalesce("text", F.lit(""))), "_d": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID))}
-    joined = docs.withColumns(key).join(spans, ["_t", "_d"], "left")
-    out = joined.withColumn("text", shorter(F.col("text"), F.coalesce("_spans", F.array())))
+    spans = repeated_spans(docs).unionByName(copies(docs)).groupBy("t", "d").agg(F.collect_list(F.struct("start", "end")).alias("spans"))
+    plain, names = set_aside(docs, "doc_id", "text")
+    joined = keyed(plain).join(spans, ["t", "d"], "left")
+    out = joined.withColumn("text", shorter(F.col("text"), F.coalesce("spans", F.array())))
+    columns = {c: F.col(n) for c, n in zip(docs.columns, names, strict=True)} | {"text": F.col("text")}
     if "n_chars" in columns:
-        out = out.withColumn("n_chars", F.when(F.col("_spans").isNull(), F.col("n_chars")).otherwise(F.length("text")).cast(docs.schema["n_chars"].dataType))
-    return out.select(*columns)
+        n_chars = F.when(F.col("spans").isNull(), columns["n_chars"]).otherwise(F.length("text"))
+        columns["n_chars"] = n_chars.cast(docs.schema["n_chars"].dataType)
+    return out.select(*[c.alias(k) for k, c in columns.items()])

@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerflow.llm.common import restored, set_aside, slices
+
 #: At most so many labelled toxic and other documents, those with the smallest hashes of their ids, are learned from.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
 CHAIN = ("dense", "junk", "toxic")
@@ -70,7 +72,7 @@ class Counter:
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counter = Counter()
-    for batch in batches:
+    for batch in slices(batches):
         rows = [counter.count(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("toxic"), batch.column("quality"), pa.array([np.array(f, "<i4").tobytes() for f, _, _ in rows], pa.binary()), pa.array([np.minimum(np.array(c, np.int64), 255).astype("u1").tobytes() for _, c, _ in rows], pa.binary()), pa.array([n for _, _, n in rows], pa.int64())],
@@ -162,30 +164,29 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, cl
     middle = float(np.median(density[toxic > 0])) if toxic.any() else 0.0
     y = np.column_stack(((toxic > 0) & (density >= middle / 2), (toxic > 0) & low, toxic > 0)).astype(np.float32)
     order = np.argsort([zlib.crc32(f.tobytes()) for f in features], kind="stable")  # folds do not depend on row order
-    return {"selected": selected, "models": fit_chain(x[order], y[order]) if len(x) else [np.array([-8.0] * 1)] * 0}
+    return {"selected": selected, "models": fit_chain(x[order], y[order]) if len(x) else []}
 
 
 def probabilities(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
     """The columns `keep` of docs with p_dense, p_junk and p_toxic; nothing is shuffled."""
     keep = ["doc_id"] if keep is None else keep
-    kept = docs.select(*keep, F.col("text").alias("_scored")) if "text" in keep else docs.select(*keep, F.col("text").alias("_scored"))
+    kept = docs.select(*keep, F.col("text").alias("_scored"))
     kinds = {f.name: f for f in kept.schema.fields}
     schema = ", ".join(f"`{c}` {kinds[c].dataType.simpleString()}" for c in keep) + ", p_dense double, p_junk double, p_toxic double"
 
     def rate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         selected, models = model["selected"], model["models"]
         counter = Counter(selected)
-        for batch in batches:
+        for batch in slices(batches, 1000):
             texts = batch.column("_scored").to_pylist()
             p = np.zeros((len(texts), len(CHAIN)))
-            for i in range(0, len(texts) if models else 0, 2000):
-                part = texts[i : i + 2000]
-                counts, words = np.zeros((len(part), len(selected)), np.float32), np.zeros(len(part))
-                for j, t in enumerate(part):
+            if models:
+                counts, words = np.zeros((len(texts), len(selected)), np.float32), np.zeros(len(texts))
+                for j, t in enumerate(texts):
                     f, c, words[j] = counter.count(t)
                     counts[j, f] = c
-                p[i : i + 2000] = predict_chain(_scaled(counts, words), models)
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(p[:, k]) for k in range(len(CHAIN))]], names=[*keep, "p_dense", "p_junk", "p_toxic"])
+                p = predict_chain(_scaled(counts, words), models).astype(np.float64)
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], *[pa.array(p[:, k], pa.float64()) for k in range(len(CHAIN))]], names=[*keep, "p_dense", "p_junk", "p_toxic"])
 
     return kept.mapInArrow(rate, schema)
 
@@ -202,8 +203,6 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that are not toxic, with their own columns."""
-    names = [f"_{i}" for i in range(len(docs.columns))]  # an input's names may clash with the probabilities'
-    at = docs.columns.index("text")
-    plain = docs.toDF(*names).withColumn("text", F.col(names[at]))
+    plain, names = set_aside(docs, "text")
     kept = probabilities(plain, learn(docs, labels), names).where(F.col("p_toxic") < THRESHOLD)
-    return kept.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return restored(kept, names, docs.columns)

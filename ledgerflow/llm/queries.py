@@ -57,5 +57,35 @@ def queries() -> dict:
     return {f.__name__: f for f in QUERIES}
 
 
+def _mixing_sql() -> str:
+    """The raking of mixing.rake, one step of one margin after the other."""
+    share = lambda rest: f"(n - length({rest}))::double / n"
+    symbols = "text"
+    for c in "*#$%&":
+        symbols = f"replace({symbols}, '{c}', '')"
+    rest = {"|": "replace(text, '|', '')", "symbols": symbols, "upper": "regexp_replace(text, '[A-Z]+', '', 'g')"}
+    parts = [
+        "t as (select doc_id, source, lang, text, length(text) as n from documents)",
+        f"""d as (select doc_id, source, lang, coalesce(source, '') as s, coalesce(lang, '') as l, case when n > 0 then strlen(text) - strlen(replace(replace(text, ' ', ''), chr(10), '')) + 1 else 0 end::bigint as tokens,
+        case when coalesce(n, 0) = 0 then 'empty' when {share(rest["|"])} > 0.03 then 'table' when {share(rest["symbols"])} > 0.05 then 'symbols' when {share(rest["upper"])} > 0.3 then 'shouting'
+        when n < 600 then 'note' when n < 5000 then 'article' else 'long' end as topic from t)""",
+        f"f0 as materialized (select s as source, l as lang, topic, sum(tokens)::double as w, {mixing.RATE}::double as p from d group by all having sum(tokens) > 0)",
+        f"goal as (select sum(w) * {mixing.RATE} as goal from f0)",
+    ]
+    for dim in mixing.DIMENSIONS:
+        parts.append(f"m_{dim} as materialized (select {dim}, t / sum(t) over () as target from (select {dim}, pow(sum(w), {mixing.FLATTEN[dim]}) as t from f0 group by {dim}))")
+    last = "f0"
+    for i in range(mixing.ROUNDS):
+        for dim in mixing.DIMENSIONS:
+            name = f"f{i}_{dim}"
+            parts.append(f"{name} as materialized (select f.source, f.lang, f.topic, f.w, least(1.0, f.p * (m.target * g.goal / n.now)) as p from {last} f join m_{dim} m using ({dim}) join (select {dim}, sum(w * p) as now from {last} group by {dim}) n using ({dim}), goal g)")
+            last = name
+    return (
+        "with " + ",\n".join(parts) + f"""
+        select doc_id, d.source, d.lang, d.topic, tokens, round(coalesce(f.p, 0.0), 6) as probability, (('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{mixing.SEED}'), 1, 12))::bigint / {1 << 48}.0::double) < coalesce(f.p, 0.0) as kept
+        from d left join {last} f on f.source = d.s and f.lang = d.l and f.topic = d.topic"""
+    )
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_source_mixing": _mixing_sql()}

@@ -59,57 +59,67 @@ def retained(grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero(_sliding(padded, WINDOW, False) == grams)
 
 
+class _Lists:
+    """Rows with an array of positions each, gathered text by text."""
+
+    def __init__(self) -> None:
+        self.keys: list[np.ndarray] = [np.zeros(0, np.int64)]
+        self.at: list[np.ndarray] = [np.zeros(0, np.int32)]
+        self.sizes: list[np.ndarray] = [np.zeros(0, np.int64)]
+
+    def add(self, values: np.ndarray, at: np.ndarray) -> int:
+        """A row for each distinct value, with its positions; returns how many."""
+        order = np.argsort(values, kind="stable")
+        values = values[order]
+        first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))) if len(values) else order
+        self.keys.append(values[first].view(np.int64))
+        self.at.append(at[order].astype(np.int32))
+        self.sizes.append(np.diff(np.concatenate((first, [len(values)]))))
+        return len(first)
+
+    def arrays(self) -> tuple[pa.Array, pa.Array]:
+        offsets = np.concatenate(([0], np.cumsum(np.concatenate(self.sizes)))).astype(np.int32)
+        return pa.array(np.concatenate(self.keys)), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(self.at)))
+
+
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(h, t, at): a text's retained suffixes, those with the same first words in one row."""
     for batch in slices(batches):
-        keys, gram, at, ends = [], [], [], [np.zeros(1, np.int64)]
-        for t, text in zip(batch.column("t").to_numpy(), batch.column("text").to_pylist(), strict=True):
-            _, g = hashes(text)
-            p = retained(g)
-            p = p[np.argsort(g[p], kind="stable")]
-            first = np.flatnonzero(np.concatenate(([True], g[p][1:] != g[p][:-1]))) if len(p) else p
-            keys.append(np.full(len(first), t, np.int64))
-            gram.append(g[p[first]].view(np.int64))
-            at.append(p.astype(np.int32))
-            ends.append(np.concatenate((first[1:], [len(p)])) + ends[-1][-1] if len(p) else np.zeros(0, np.int64))
-            if not len(p):
-                ends.pop()
-        if keys:
-            offsets = pa.array(np.concatenate(ends).astype(np.int32))
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(at)))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gram)), pa.array(np.concatenate(keys)), lists], names=["h", "t", "at"])
+        rows, counts = _Lists(), []
+        for text in batch.column("text").to_pylist():
+            _, grams = hashes(text)
+            at = retained(grams)
+            counts.append(rows.add(grams[at], at))
+        h, at = rows.arrays()
+        yield pa.RecordBatch.from_arrays([h, pa.array(np.repeat(batch.column("t").to_numpy(), counts)), at], names=["h", "t", "at"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For suffixes in short lists their two contexts; for those in long lists all windows of MIN words around them."""
+    """For suffixes in short lists their two contexts; for those in long lists all windows of MIN words around them, equal
+    windows of a text in one row."""
     for batch in slices(batches):
-        out: list[tuple] = []
-        windows: list[tuple[np.ndarray, np.ndarray, int, int]] = []
-        for t, d, text, spots in zip(*(batch.column(c).to_pylist() for c in ("t", "d", "text", "spots")), strict=True):
+        rows, counts, left, right = _Lists(), [], [], []
+        for text, spots in zip(batch.column("text").to_pylist(), batch.column("spots").to_pylist(), strict=True):
             words, grams = hashes(text)
+            spots = np.array(spots)
+            near, far = (spots >> 1)[spots & 1 == 0], (spots >> 1)[spots & 1 == 1]
             short = (words >> np.uint64(32)).astype("<u4")
-            wide: list[int] = []
-            for spot in spots:
-                at = spot >> 1
-                if spot & 1:
-                    wide.append(at)
-                    continue
-                left = short[max(at - SIDE, 0) : at][::-1].tobytes()
-                right = short[at + GRAM : at + GRAM + SIDE].tobytes()
-                out.append((int(grams[at].view(np.int64)), t, d, at, left, right))
-            if wide:
-                first = np.unique((np.array(wide)[:, None] - np.arange(SIDE + 1)).ravel())
+            n = 0
+            for at in near.tolist():
+                left.append(short[max(at - SIDE, 0) : at][::-1].tobytes())
+                right.append(short[at + GRAM : at + GRAM + SIDE].tobytes())
+                n += rows.add(grams[at : at + 1], np.array([at]))
+            if len(far):
+                first = np.unique((far[:, None] - np.arange(SIDE + 1)).ravel())
                 first = first[(first >= 0) & (first + MIN <= len(words))]
-                windows.append((Rolling(words).of(first, first + MIN).view(np.int64), first, t, d))
-        n = len(out)
-        h, t, d, at, left, right = zip(*out, strict=True) if out else ([], [], [], [], [], [])
-        if windows:
-            h = np.concatenate((np.array(h, np.int64), *[w[0] for w in windows]))
-            t = np.concatenate((np.array(t, np.int64), *[np.full(len(w[0]), w[2], np.int64) for w in windows]))
-            d = np.concatenate((np.array(d, np.int64), *[np.full(len(w[0]), w[3], np.int64) for w in windows]))
-            at = np.concatenate((np.array(at, np.int64), *[w[1] for w in windows]))
-        more = len(h) - n
-        yield pa.RecordBatch.from_arrays([pa.array(h, pa.int64()), pa.array(t, pa.int64()), pa.array(d, pa.int64()), pa.array(np.asarray(at, np.int32)), pa.array([*left, *[None] * more], pa.binary()), pa.array([*right, *[None] * more], pa.binary())], names=["h", "t", "d", "at", "left", "right"])
+                more = rows.add(Rolling(words).of(first, first + MIN), first)
+                left += [None] * more
+                right += [None] * more
+                n += more
+            counts.append(n)
+        h, at = rows.arrays()
+        t, d = (pa.array(np.repeat(batch.column(c).to_numpy(), counts)) for c in ("t", "d"))
+        yield pa.RecordBatch.from_arrays([h, t, d, at, pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["h", "t", "d", "at", "left", "right"])
 
 
 def _common(a: int, b: int, most: int) -> int:
@@ -205,13 +215,14 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     reps = rows.groupBy("t").agg(F.min("d").alias("d"))
     wanted = reps.join(spots, "t")
     texts = rows.join(wanted, ["t", "d"]).withColumn("copy", F.row_number().over(Window.partitionBy("t", "d").orderBy("d"))).where("copy = 1")
-    found = texts.select("t", "d", "text", "spots").mapInArrow(_contexts, "h long, t long, d long, at int, left binary, right binary")
+    found = texts.select("t", "d", "text", "spots").mapInArrow(_contexts, "h long, t long, d long, at array<int>, left binary, right binary")
     found = cut(found)
     n = partitions(spark)
-    near = found.where("right is not null").repartition(n, "h").sortWithinPartitions("h", "right", "d", "at").mapInArrow(_matches, _SPAN)
-    windows = found.where("right is null").select("h", "t", "d", "at").distinct()
+    near = found.where("right is not null").withColumn("at", F.col("at")[0]).repartition(n, "h").sortWithinPartitions("h", "right", "d", "at").mapInArrow(_matches, _SPAN)
+    windows = found.where("right is null").select("h", "t", "d", "at")
     firsts = windows.groupBy("h").agg(F.min("d").alias("first"), F.max("d").alias("last")).where("first <> last").select("h", "first")
-    far = windows.join(firsts, "h").where("d > first").select("t", "d", F.col("at").alias("start"), (F.col("at") + MIN).cast("int").alias("end"), "first")
+    far = windows.join(firsts, "h").where("d > first").select("t", "d", F.explode("at").alias("start"), "first")
+    far = far.select("t", "d", "start", (F.col("start") + MIN).cast("int").alias("end"), "first")
     return near.union(far).repartition(n, "t", "d").sortWithinPartitions("t", "d", "start", "end").mapInArrow(_merged, _SPAN)
 
 

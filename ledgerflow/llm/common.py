@@ -32,6 +32,15 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear_cuts(spark: SparkSession) -> None:
+    """Deletes the tables that cut() has written in the shared folder, when no result needs them any more."""
+    jvm = spark.sparkContext._jvm
+    pattern = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/cut-*")
+    fs = pattern.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    for status in fs.globStatus(pattern) or []:
+        fs.delete(status.getPath(), True)
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
     """The batches in parts of at most `rows` rows: what Python makes of the texts stays small."""
     for batch in batches:

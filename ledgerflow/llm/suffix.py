@@ -208,7 +208,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     rows = keyed(docs.select("doc_id", "text")).where(F.octet_length("text") >= 2 * MIN - 1)
     # one row for each text and first words: copies of a text meet before they are shuffled
-    suffixes = rows.select("t", "text").mapInArrow(_suffixes, "h long, t long, at array<int>").groupBy("h", "t").agg(F.any_value("at").alias("at"))
+    suffixes = cut(rows.select("t", "text").mapInArrow(_suffixes, "h long, t long, at array<int>").groupBy("h", "t").agg(F.any_value("at").alias("at")))
     lists = suffixes.groupBy("h").agg(F.count("*").alias("texts"), F.sum(F.size("at")).alias("n")).where("texts > 1").select("h", (F.col("n") > LONG).alias("long"))
     spot = F.transform("at", lambda x: x * 2 + F.col("long").cast("int"))
     spots = suffixes.join(lists, "h").groupBy("t").agg(F.flatten(F.collect_list(spot)).alias("spots"))  # bounded by a text's length

@@ -22,8 +22,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import cut
+from ledgerflow.llm.common import cut, partitions
 from ledgerflow.llm.components import components
+from ledgerflow.llm.words import scan
 
 SEED = 42
 WORDS = 3
@@ -32,6 +33,11 @@ MIN_BYTES = 6
 LONG = 24
 _KEYS = list(combinations(range(4), 2))
 
+#: The wider signature of keep_one(): five-word shingles, similarity 0.8, and what of the bytes must then agree at least.
+SIMILAR_WORDS, POSITIONS, KEYS, LEADERS = 5, 128, 10, 32
+SHARED = round(0.77 * POSITIONS)
+_FACTORS = (np.random.default_rng(SEED).integers(1 << 31, 1 << 32, POSITIONS, dtype=np.uint64) | 1).astype(np.uint32)
+
 
 def simhash(text: str | None) -> int:
     """The fingerprint, unsigned. Words are runs of non-blanks; no words give 0."""
@@ -112,8 +118,83 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return hashed.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def signature(text: str | None) -> np.ndarray:
+    """POSITIONS bytes: at each, the lowest byte of the smallest hash of the text's five-word shingles under a hash of its
+    own. Two texts agree at a position with a chance of about their shingles' Jaccard similarity."""
+    _, start, end, roll = scan((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(start):
+        return np.zeros(POSITIONS, np.uint8)
+    last = np.minimum(np.arange(len(start)) + SIMILAR_WORDS, len(start)) - 1
+    last = last[: max(len(start) - SIMILAR_WORDS + 1, 1)]
+    h = (roll.of(start[: len(last)], end[last]) >> np.uint64(32)).astype(np.uint32)
+    out = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
+    for i in range(0, len(h), 1 << 12):
+        np.minimum(out, np.multiply.outer(_FACTORS, h[i : i + (1 << 12)]).min(axis=1), out=out)
+    return (out >> np.uint32(5)).astype(np.uint8)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [signature(t).tobytes() for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "sig"])
+
+
+def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Posting lists sorted by (n, key, doc_id): each member is compared with the list's leaders, and linked to the first
+    that shares enough positional bytes or made a leader. What finds LEADERS leaders and none alike goes on (a is null)."""
+    held, leaders, ids = None, np.zeros((LEADERS, POSITIONS), np.uint8), []
+    for batch in batches:
+        out: list[tuple] = []
+        keys = zip(batch.column("n").to_pylist(), batch.column("key").to_pylist(), strict=True)
+        for key, doc_id, sig in zip(keys, batch.column("doc_id").to_pylist(), batch.column("sig").to_pylist(), strict=True):
+            if key != held:
+                held, ids = key, []
+            own = np.frombuffer(sig, np.uint8)
+            if ids:
+                alike = np.flatnonzero((leaders[: len(ids)] == own).sum(axis=1) >= SHARED)
+                if len(alike):
+                    out.append((ids[alike[0]], doc_id, None, None, None))
+                    continue
+            if len(ids) < LEADERS:
+                leaders[len(ids)] = own
+                ids.append(doc_id)
+            else:
+                out.append((None, doc_id, *key, sig))
+        columns = list(zip(*out, strict=True)) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "n", "key", "sig"])
+
+
+def similar(signatures: DataFrame) -> DataFrame:
+    """(a, b) with a < b: documents that share SHARED of their positional bytes, as the index finds them.
+
+    Posting keys are again four positional bytes; at a similarity of 0.8 a pair meets in one of the KEYS lists with a chance
+    of 0.995. In a list, members are compared with its leaders and not with each other, so work is linear in its length.
+    """
+    n = partitions(signatures.sparkSession)
+    at = lambda k: F.conv(F.hex(F.substring("sig", 4 * k + 1, 4)), 16, 10).cast("long")
+    entries = F.array(*[F.struct(F.lit(k).alias("n"), at(k).alias("key")) for k in range(KEYS)])
+    todo = signatures.select("doc_id", "sig", F.explode(entries).alias("e")).select("e.n", "e.key", "doc_id", "sig")
+    edges = None
+    while True:
+        dealt = todo.repartition(n, "n", "key").sortWithinPartitions("n", "key", "doc_id")
+        found = cut(dealt.select("n", "key", "doc_id", "sig").mapInArrow(_led, "a long, b long, n int, key long, sig binary"))
+        linked = found.where("a is not null and a <> b").select("a", "b")
+        edges = linked if edges is None else edges.union(linked)
+        todo = found.where("a is null").select("n", "key", F.col("b").alias("doc_id"), "sig")
+        if not todo.limit(1).count():
+            return edges.distinct()
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those of a component whose id is not its smallest; of rows with equal ids all stay."""
+    """The documents without all but the one with the smallest id of each near-duplicate group.
+
+    Groups are first those of near_duplicates(); of what is left, documents with a similarity of 0.8 or more on five-word
+    shingles, estimated from POSITIONS positional bytes with a standard error of 0.035, are a group too. Blank texts are
+    alike. Rows with equal ids stay or go together; rows without an id stay.
+    """
     found = near_duplicates(docs)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
+    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_signed, "doc_id long, sig binary")
+    roots = components(similar(signed.join(gone, "doc_id", "left_anti")))
+    gone = gone.union(roots.where("node <> root").select(F.col("node").alias("doc_id")))
     return docs.join(gone, "doc_id", "left_anti")

@@ -58,3 +58,40 @@ def test_edges(spark):
     kept = simhash.keep_one(docs(spark, EDGES))
     assert sorted(r.doc_id or 0 for r in kept.collect()) == [0, 1, 2, 3, 4, 4, 8, 9, 10] and kept.columns == docs(spark, []).columns
     assert simhash.near_duplicates(docs(spark, [])).count() == 0
+
+
+def five(text):
+    w = text.lower().split()
+    return {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))}
+
+
+def test_one_of_each_similar_group_stays(spark):
+    """Near copies with a similarity of at least 0.87 go, documents below 0.6 stay; a group may be larger than a list's leaders."""
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7)))
+    bases = [[word() for _ in range(300)] for _ in range(30)]
+    rows, kind = [], {}
+    for b, base in enumerate(bases):
+        rows.append((len(rows), " ".join(base)))
+        for edits in (1, 2, 3, 25, 60) if b else [1] * 150:
+            w = list(base)
+            for at in r.sample(range(300), edits):
+                w[at] = word()
+            kind[len(rows)] = (b, edits)
+            rows.append((len(rows), " ".join(w)))
+    kept = {x.doc_id for x in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()}
+    first = [i for i in range(len(rows)) if i not in kind]
+    assert set(first) <= kept
+    for i, (b, edits) in kind.items():
+        alike = max(len(five(rows[i][1]) & five(rows[j][1])) / len(five(rows[i][1]) | five(rows[j][1])) for j in range(i) if j in kept and (j in first or kind[j][0] == b))
+        assert not (i in kept and alike > 0.87) and not (i not in kept and alike < 0.6), (i, edits, alike)
+
+
+def test_rounds_of_leaders(spark):
+    """A list with more unlike members than leaders is gone through in rounds, and no pair of copies is missed."""
+    r = random.Random(6)
+    sigs = [bytes([1, 2, 3, 4]) + bytes(r.randrange(256) for _ in range(simhash.POSITIONS - 4)) for _ in range(3 * simhash.LEADERS)]
+    rows = [(i, bytearray(s)) for i, s in enumerate(sigs)] + [(1000 + i, bytearray(s)) for i, s in enumerate(sigs)]
+    got = {(e.a, e.b) for e in simhash.similar(spark.createDataFrame(rows, "doc_id long, sig binary")).collect()}
+    assert got == {(i, 1000 + i) for i in range(len(sigs))}
+    assert simhash.similar(spark.createDataFrame([], "doc_id long, sig binary")).count() == 0

@@ -14,6 +14,7 @@ TITLE_LIMIT, SUMMARY_LIMIT = 500, 10_000
 
 # The blanks of Unicode text, the control characters that are refused, the letters of spoken words.
 SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 WORD = r"[0-9A-Za-z\u0400-\u04ff]+(?:[-\u2019'][0-9A-Za-z\u0400-\u04ff]+)*"
 MARKDOWN = r"([\\`*_{}\[\]<>()#+\-.!|])"
@@ -21,7 +22,7 @@ MARKDOWN = r"([\\`*_{}\[\]<>()#+\-.!|])"
 
 def newlines(x: Column) -> Column:
     """CRLF and CR become LF."""
-    return F.regexp_replace(x, r"\r\n?", "\n")
+    return F.replace(F.replace(x, F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
 def has_controls(x: Column) -> Column:
@@ -35,7 +36,7 @@ def collapse(x: Column) -> Column:
 
 def strip(x: Column) -> Column:
     """No Unicode blanks at the ends."""
-    return F.regexp_replace(x, rf"^{SPACE}+|{SPACE}+$", "")
+    return F.btrim(x, F.lit(BLANKS))
 
 
 def mapped(f: Callable[[str | None], str | None], x: Column) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -110,7 +112,10 @@ def cardinality(packages: DataFrame, stories: DataFrame) -> DataFrame:
 
 
 class Store:
-    """A folder with one Parquet table each. Each commit writes new versions of tables and then names them at once."""
+    """A folder with Parquet parts for each table. A commit adds parts, or replaces a table's, and then names the parts of all
+    tables in one small file that appears by a rename; readers see a commit whole or not at all, and old rows are not
+    written again.
+    """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path.rstrip("/")
@@ -120,54 +125,50 @@ class Store:
         target = jvm.org.apache.hadoop.fs.Path(self.path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _versions(self) -> dict[str, int]:
+    def _parts(self) -> tuple[int, dict[str, list[int]]]:
+        """The last commit's number, and the parts of each table."""
         fs, path = self._fs()
-        found: dict[str, int] = {}
-        folder = path(f"{self.path}/_current")
-        if fs.exists(folder):
-            names = [s.getPath().getName() for s in fs.listStatus(folder)]
-            latest = max((n for n in names if n.isdigit()), key=int, default=None)
-            if latest is not None:
-                row = self.spark.read.text(f"{self.path}/_current/{latest}").first()[0]
-                found = {k: int(v) for k, v in (p.split("=") for p in row.split(","))}
-        return found
+        folder = path(f"{self.path}/_commits")
+        numbers = [int(n) for s in (fs.listStatus(folder) if fs.exists(folder) else []) if (n := s.getPath().getName()).isdigit()]
+        if not numbers:
+            return 0, {}
+        return max(numbers), json.loads(self.spark.read.text(f"{self.path}/_commits/{max(numbers)}").first()[0])
 
     def init(self) -> bool:
         """Makes empty tables; false if they are there and as they should be."""
-        if self._versions():
+        if self._parts()[1]:
             self.check()
             return False
-        empty = {n: self.spark.createDataFrame([(1, schemas.SCHEMA_VERSION)] if n == "schema_meta" else [], s) for n, s in schemas.TABLES.items()}
-        self.commit(empty)
+        self.commit({n: self.spark.createDataFrame([(1, schemas.SCHEMA_VERSION)] if n == "schema_meta" else [], s) for n, s in schemas.TABLES.items()})
         return True
 
     def check(self) -> None:
-        versions = self._versions()
-        if set(versions) != set(schemas.TABLES) or any(not schemas.same_schema(self.read(n), n) for n in versions):
+        parts = self._parts()[1]
+        if not parts:
+            raise StoreError("E_DB_NOT_INITIALIZED", "the store is not initialised")
+        if set(parts) != set(schemas.TABLES) or any(not schemas.same_schema(self.read(n), n) for n in parts):
             raise StoreError("E_DB_SCHEMA", "the store's tables are not as they should be")
-        meta = self.read("schema_meta").collect()
-        if [tuple(r) for r in meta] != [(1, schemas.SCHEMA_VERSION)]:
+        if [tuple(r) for r in self.read("schema_meta").limit(2).collect()] != [(1, schemas.SCHEMA_VERSION)]:
             raise StoreError("E_DB_SCHEMA", "the store has another version")
 
     def read(self, name: str) -> DataFrame:
-        versions = self._versions()
-        if name not in versions:
+        parts = self._parts()[1]
+        if name not in parts:
             raise StoreError("E_DB_NOT_INITIALIZED", "the store is not initialised")
-        return self.spark.read.parquet(f"{self.path}/{name}/{versions[name]}")
+        return self.spark.read.parquet(*[f"{self.path}/{name}/{n}" for n in parts[name]])
 
-    def commit(self, tables: dict[str, DataFrame]) -> None:
-        """Whole new tables; readers see all or none, as the file that names the versions appears by a rename."""
-        versions = self._versions()
-        stamp = max([0, *versions.values()]) + 1
+    def commit(self, tables: dict[str, DataFrame], append: bool = False) -> None:
+        """New parts of these tables: the only ones, or beside those there are."""
+        last, parts = self._parts()
+        number = last + 1
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/{stamp}")
-            versions[name] = stamp
+            df.write.mode("overwrite").parquet(f"{self.path}/{name}/{number}")
+            parts[name] = [*(parts.get(name, []) if append else []), number]
         fs, path = self._fs()
-        line = ",".join(f"{k}={v}" for k, v in sorted(versions.items()))
-        self.spark.createDataFrame([(line,)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_staged")
+        self.spark.createDataFrame([(json.dumps(parts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_staged")
         part = next(s.getPath() for s in fs.listStatus(path(f"{self.path}/_staged")) if s.getPath().getName().startswith("part-"))
-        fs.mkdirs(path(f"{self.path}/_current"))
-        if not fs.rename(part, path(f"{self.path}/_current/{stamp}")):
+        fs.mkdirs(path(f"{self.path}/_commits"))
+        if not fs.rename(part, path(f"{self.path}/_commits/{number}")):
             raise StoreError("E_DB_WRITE", "another writer has committed")
 
     def harvest(self, snapshots: DataFrame) -> tuple[int, int]:
@@ -180,7 +181,7 @@ class Store:
         created, unchanged = merge_counts(snapshots, sources).first()
         if created:
             new = new_rows(snapshots, sources).select(*sources.columns)
-            self.commit({"sources": sources.unionByName(new), "stories": stories.unionByName(stories_of(new))})
+            self.commit({"sources": new, "stories": stories_of(new)}, append=True)
         return created, unchanged
 
     def save_packages(self, packages: DataFrame) -> int:
@@ -193,5 +194,5 @@ class Store:
         new = packages.join(existing.select("story_id", "generator_name"), ["story_id", "generator_name"], "left_anti").select(*existing.columns)
         n = new.count()
         if n:
-            self.commit({"story_packages": existing.unionByName(new)})
+            self.commit({"story_packages": new}, append=True)
         return n

@@ -108,3 +108,18 @@ def test_sources_are_sorted_before_hashing(spark):
     a, b = (F.struct(F.lit("h").alias("content_hash"), F.lit(i).alias("id")) for i in ("a", "b"))
     fps = spark.range(1).select(identity.mock_fingerprint(F.lit("s"), F.array(a, b)), identity.mock_fingerprint(F.lit("s"), F.array(b, a))).first()
     assert fps[0] == fps[1]
+
+
+def test_experiment_and_script_identities(spark):
+    import hashlib
+    import json
+
+    value = {"effort": "high", "models": {"a": "x", "b": "y"}, "schema_version": 1}
+    text_ = json.dumps(value, sort_keys=True, separators=(",", ":")) + "\n"
+    models = F.struct(F.lit("x").alias("a"), F.lit("y").alias("b")).alias("models")
+    got = spark.range(1).select(identity.experiment_id(F.lit("high").alias("effort"), models, F.lit(1).alias("schema_version"))).first()[0]
+    assert got == "gpt56-ts-" + hashlib.sha256(text_.encode()).hexdigest()[:24]
+    core = {"generator_version": "safe-local-v1", "package_id": "p", "package_json_sha256": hashlib.sha256(b"{}").hexdigest(), "script_schema_version": 1, "template_version": "claim-safe-script-v1"}
+    fp = hashlib.sha256(json.dumps(core, sort_keys=True, separators=(",", ":")).encode()).hexdigest()
+    got = spark.range(1).select(identity.script_fingerprint(F.lit("p"), F.lit("{}")).alias("f")).select("f", identity.script_id(F.col("f"))).first()
+    assert tuple(got) == (fp, "script_" + hashlib.sha256(f"f3-script:{fp}".encode()).hexdigest()[:24])

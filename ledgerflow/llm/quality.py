@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import slices
+from ledgerflow.llm.common import slices, views
 from ledgerflow.llm.words import scan
 
 #: At most so many labelled documents, those with the smallest hashes of their ids, are learned from.
@@ -170,8 +170,8 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str,
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("label").cast("int"), "text")
     got = rows.mapInArrow(_features, "label int, x binary, w binary").toArrow()
-    xs = [np.frombuffer(v, "<f4").reshape(-1, FEATURES) for v in got.column("x").to_pylist()]
-    ws = [np.frombuffer(v, "<f4") for v in got.column("w").to_pylist()]
+    xs = [v.reshape(-1, FEATURES) for v in views(got.column("x"), "<f4")]
+    ws = views(got.column("w"), "<f4")
     label = (np.array(got.column("label").to_pylist(), dtype=np.int64) > 0).astype(np.int64)
     if not xs:
         return fit(np.zeros((0, FEATURES)), np.zeros(0, np.int64), np.zeros(0), label)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import restored, set_aside, slices
+from ledgerflow.llm.common import restored, set_aside, slices, views
 
 #: At most so many labelled toxic and other documents, those with the smallest hashes of their ids, are learned from.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
@@ -133,7 +133,7 @@ def _scaled(counts: np.ndarray, words: np.ndarray) -> np.ndarray:
 def select(features: list[np.ndarray], toxic: np.ndarray, most: int = SELECTED) -> dict[int, int]:
     """The features whose presence in toxic documents exceeds that in others most, by chi-square."""
     n1, n0 = max(int(toxic.sum()), 1), max(int((toxic == 0).sum()), 1)
-    a, b = np.zeros(BUCKETS), np.zeros(BUCKETS)
+    a, b = np.zeros(BUCKETS, np.float32), np.zeros(BUCKETS, np.float32)
     for f, t in zip(features, toxic, strict=True):
         (a if t else b)[f] += 1
     p = (a + b) / (n1 + n0)
@@ -151,14 +151,15 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, cl
     got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "quality", "text").mapInArrow(_counted, "toxic int, quality int, features binary, counts binary, words long").toArrow()
     toxic = (np.array(got.column("toxic").to_pylist(), np.int64) > 0).astype(np.int64)
     low = np.array(got.column("quality").to_pylist(), np.int64) <= 0
-    features = [np.frombuffer(v, "<i4") for v in got.column("features").to_pylist()]
+    features, sizes = views(got.column("features"), "<i4"), views(got.column("counts"), "u1")
     words = np.array(got.column("words").to_pylist(), np.float64)
     selected = select(features, toxic)
     counts = np.zeros((len(toxic), len(selected)), np.float32)
-    for i, (f, c) in enumerate(zip(features, got.column("counts").to_pylist(), strict=True)):
-        for feature, n in zip(f.tolist(), c, strict=True):
-            if feature in selected:
-                counts[i, selected[feature]] = n
+    place = np.full(BUCKETS, -1, np.int32)
+    place[list(selected)] = list(selected.values())
+    for i, (f, c) in enumerate(zip(features, sizes, strict=True)):
+        at = place[f]
+        counts[i, at[at >= 0]] = c[at >= 0]
     x = _scaled(counts, words)
     density = x.sum(axis=1)
     middle = float(np.median(density[toxic > 0])) if toxic.any() else 0.0

@@ -32,9 +32,9 @@ HEADINGS = ("Главный факт", "Что известно", "Статус
 
 
 def strongest(claims: Column) -> Column:
-    """The first VERIFIED claim, else the first VENDOR_CLAIM, else the first."""
+    """The first VERIFIED claim, else the first VENDOR_CLAIM, else the first; null if there is none."""
     of = lambda status: F.filter(claims, lambda c: c["status"] == status)
-    return F.when(F.size(of("VERIFIED")) > 0, of("VERIFIED")[0]).when(F.size(of("VENDOR_CLAIM")) > 0, of("VENDOR_CLAIM")[0]).otherwise(claims[0])
+    return F.when(F.size(of("VERIFIED")) > 0, F.get(of("VERIFIED"), F.lit(0))).when(F.size(of("VENDOR_CLAIM")) > 0, F.get(of("VENDOR_CLAIM"), F.lit(0))).otherwise(F.get(claims, F.lit(0)))
 
 
 def chunk_size(n: Column) -> Column:

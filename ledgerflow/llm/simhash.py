@@ -33,9 +33,10 @@ MIN_BYTES = 6
 LONG = 24
 _KEYS = list(combinations(range(4), 2))
 
-#: The wider signature of keep_one(): five-word shingles, similarity 0.8, and what of the bytes must then agree at least.
-SIMILAR_WORDS, POSITIONS, KEYS, LEADERS = 5, 128, 10, 32
-SHARED = round(0.77 * POSITIONS)
+#: The wider signature of keep_one(): five-word shingles. Of two texts with a similarity of 0.8, SHARED bytes agree but for
+#: a chance of 1e-4, and one of the KEYS is equal but for 3e-5; what passes is verified on the shingles.
+SIMILAR_WORDS, POSITIONS, KEYS, LEADERS = 5, 128, 20, 32
+SHARED = round(0.66 * POSITIONS)
 _FACTORS = (np.random.default_rng(SEED).integers(1 << 31, 1 << 32, POSITIONS, dtype=np.uint64) | 1).astype(np.uint32)
 
 
@@ -118,25 +119,71 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return hashed.join(named, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def shingles(text: str | None) -> np.ndarray:
+    """The distinct hashes of the text's five-word shingles, sorted; shorter texts have one, of all their words."""
+    _, start, end, roll = scan((text or "").encode("utf-8", "surrogatepass").lower())
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    at = np.arange(max(len(start) - SIMILAR_WORDS + 1, 1))
+    return np.unique(roll.of(start[at], end[np.minimum(at + SIMILAR_WORDS, len(start)) - 1]))
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
+    """Whether two sets of shingles have a Jaccard similarity of 0.8 or more."""
+    both = len(a) + len(b) - len(np.union1d(a, b))
+    return 5 * both >= 4 * (len(a) + len(b) - both)
+
+
 def signature(text: str | None) -> np.ndarray:
     """POSITIONS bytes: at each, the lowest byte of the smallest hash of the text's five-word shingles under a hash of its
     own. Two texts agree at a position with a chance of about their shingles' Jaccard similarity."""
-    _, start, end, roll = scan((text or "").encode("utf-8", "surrogatepass").lower())
-    if not len(start):
+    return _lowest(shingles(text))
+
+
+def _lowest(found: np.ndarray) -> np.ndarray:
+    if not len(found):
         return np.zeros(POSITIONS, np.uint8)
-    last = np.minimum(np.arange(len(start)) + SIMILAR_WORDS, len(start)) - 1
-    last = last[: max(len(start) - SIMILAR_WORDS + 1, 1)]
-    h = (roll.of(start[: len(last)], end[last]) >> np.uint64(32)).astype(np.uint32)
+    h = (found >> np.uint64(32)).astype(np.uint32)
     out = np.full(POSITIONS, 0xFFFFFFFF, np.uint32)
     for i in range(0, len(h), 1 << 12):
         np.minimum(out, np.multiply.outer(_FACTORS, h[i : i + (1 << 12)]).min(axis=1), out=out)
     return (out >> np.uint32(5)).astype(np.uint8)
 
 
+def _class(found: np.ndarray) -> int:
+    h = xxhash.xxh64_intdigest(found.tobytes(), SEED)
+    return h - (1 << 64) if h >> 63 else h
+
+
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, g, sig): g is the same for texts with the same shingles."""
+    for batch in batches:
+        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_class(x) for x in sets], pa.int64()), pa.array([_lowest(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "g", "sig"])
+
+
+def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [signature(t).tobytes() for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(rows, pa.binary())], names=["doc_id", "sig"])
+        sets = [shingles(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["g", "shingles"])
+
+
+def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
+        good = pa.array([alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)], pa.bool_())
+        yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
+
+
+def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
+    """Of the pairs (a, b) of classes g those whose shingles are alike. Only texts of classes in pairs are read again."""
+    pairs = cut(pairs)
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("g")).distinct()
+    ids = signed.join(wanted, "g").groupBy("g").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
+    sets = cut(texts.mapInArrow(_shingled, "g long, shingles binary").join(wanted, "g", "left_semi").groupBy("g").agg(F.any_value("shingles").alias("shingles")))
+    sides = pairs.join(sets.select(F.col("g").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("g").alias("b"), F.col("shingles").alias("y")), "b")
+    return cut(sides.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
 
 
 def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -167,8 +214,8 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def similar(signatures: DataFrame) -> DataFrame:
     """(a, b) with a < b: documents that share SHARED of their positional bytes, as the index finds them.
 
-    Posting keys are again four positional bytes; at a similarity of 0.8 a pair meets in one of the KEYS lists with a chance
-    of 0.995. In a list, members are compared with its leaders and not with each other, so work is linear in its length.
+    Posting keys are again four positional bytes; at a similarity of 0.8 a pair misses all of the KEYS lists with a chance
+    of 3e-5. In a list, members are compared with its leaders and not with each other, so work is linear in its length.
     """
     n = partitions(signatures.sparkSession)
     at = lambda k: F.conv(F.hex(F.substring("sig", 4 * k + 1, 4)), 16, 10).cast("long")
@@ -189,12 +236,18 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without all but the one with the smallest id of each near-duplicate group.
 
     Groups are first those of near_duplicates(); of what is left, documents with a similarity of 0.8 or more on five-word
-    shingles, estimated from POSITIONS positional bytes with a standard error of 0.035, are a group too. Blank texts are
-    alike. Rows with equal ids stay or go together; rows without an id stay.
+    shingles are a group too. An index of POSITIONS positional bytes finds candidates, and their shingles decide. Blank
+    texts are alike. Rows with equal ids stay or go together; rows without an id stay.
     """
     found = near_duplicates(docs)
     gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_signed, "doc_id long, sig binary")
-    roots = components(similar(signed.join(gone, "doc_id", "left_anti")))
+    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_signed, "doc_id long, g long, sig binary")
+    signed = cut(signed.join(gone, "doc_id", "left_anti"))
+    classes = cut(signed.groupBy("g").agg(F.min("doc_id").alias("least"), F.any_value("sig").alias("sig")))
+    pairs = verified(similar(classes.select(F.col("g").alias("doc_id"), "sig")), signed, docs)
+    least = classes.select("g", "least")
+    near = pairs.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
+    same = signed.join(least, "g").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
+    roots = components(near.union(same))
     gone = gone.union(roots.where("node <> root").select(F.col("node").alias("doc_id")))
     return docs.join(gone, "doc_id", "left_anti")

@@ -95,3 +95,25 @@ def test_rounds_of_leaders(spark):
     got = {(e.a, e.b) for e in simhash.similar(spark.createDataFrame(rows, "doc_id long, sig binary")).collect()}
     assert got == {(i, 1000 + i) for i in range(len(sigs))}
     assert simhash.similar(spark.createDataFrame([], "doc_id long, sig binary")).count() == 0
+
+
+def pair_at(r, shared, whole):
+    """Two texts of whole + shared distinct words in all whose five-word shingles have just the similarity shared / whole."""
+    w = [f"w{r.getrandbits(60):x}" for _ in range(2 * whole)]
+    tail = (whole - shared) // 2
+    body = w[: shared + 4]
+    return " ".join(body + w[whole + 10 : whole + 10 + tail]), " ".join(body + w[2 * whole - (whole - shared - tail) :])
+
+
+def test_similarity_is_decided_on_shingles(spark):
+    """Pairs from 0.72 to 0.88: all of 0.8 and more are one, none below is."""
+    r = random.Random(8)
+    rows, want = [], set()
+    for n in range(360):
+        shared = (360, 375, 390, 399, 400, 401, 410, 420, 440)[n % 9]
+        a, b = pair_at(r, shared, 500)
+        x, y = five(a), five(b)
+        assert len(x & y) * 500 == shared * len(x | y)
+        rows += [(2 * n, a), (2 * n + 1, b)]
+        want |= {2 * n} if shared >= 400 else {2 * n, 2 * n + 1}
+    assert {x.doc_id for x in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()} == want

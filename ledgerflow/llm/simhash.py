@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import cut, partitions
 from ledgerflow.llm.components import components
-from ledgerflow.llm.words import scan
+from ledgerflow.llm.words import Rolling, scan
 
 SEED = 42
 WORDS = 3
@@ -120,12 +120,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def shingles(text: str | None) -> np.ndarray:
-    """The distinct hashes of the text's five-word shingles, sorted; shorter texts have one, of all their words."""
+    """The distinct hashes of the text's five-word shingles, sorted; shorter texts have one, of all their words. Blanks
+    between words do not matter."""
     _, start, end, roll = scan((text or "").encode("utf-8", "surrogatepass").lower())
     if not len(start):
         return np.zeros(0, np.uint64)
     at = np.arange(max(len(start) - SIMILAR_WORDS + 1, 1))
-    return np.unique(roll.of(start[at], end[np.minimum(at + SIMILAR_WORDS, len(start)) - 1]))
+    return np.unique(Rolling(roll.of(start, end)).of(at, np.minimum(at + SIMILAR_WORDS, len(start))))
 
 
 def alike(a: np.ndarray, b: np.ndarray) -> bool:

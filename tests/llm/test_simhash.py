@@ -117,3 +117,16 @@ def test_similarity_is_decided_on_shingles(spark):
         rows += [(2 * n, a), (2 * n + 1, b)]
         want |= {2 * n} if shared >= 400 else {2 * n, 2 * n + 1}
     assert {x.doc_id for x in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()} == want
+
+
+def test_blanks_do_not_matter_to_shingles(spark):
+    """An edited copy whose lines are broken anew is a near copy."""
+    r = random.Random(9)
+    rows = []
+    for n in range(20):
+        w = [f"w{r.getrandbits(40):x}" for _ in range(300)]
+        rows.append((2 * n, "\n".join(" ".join(w[i : i + 12]) for i in range(0, 300, 12))))
+        w[150] = "other"
+        w[60] = "another"
+        rows.append((2 * n + 1, "\r\n".join("\t".join(w[i : i + 10]) for i in range(0, 300, 10))))
+    assert {x.doc_id for x in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()} == {2 * n for n in range(20)}

@@ -37,6 +37,8 @@ _KEYS = list(combinations(range(4), 2))
 #: a chance of 1e-4, and one of the KEYS is equal but for 3e-5; what passes is verified on the shingles.
 SIMILAR_WORDS, POSITIONS, KEYS, LEADERS = 5, 128, 20, 32
 SHARED = round(0.66 * POSITIONS)
+#: A member that shares fewer bytes with every leader than this becomes one itself; so many members are compared in one go.
+SURE, PIECE = round(0.9 * POSITIONS), 512
 _FACTORS = (np.random.default_rng(SEED).integers(1 << 31, 1 << 32, POSITIONS, dtype=np.uint64) | 1).astype(np.uint32)
 
 
@@ -188,8 +190,8 @@ def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting lists sorted by (n, key, doc_id): each member is compared with the list's leaders, and linked to the first
-    that shares enough positional bytes or made a leader. What finds LEADERS leaders and none alike goes on (a is null)."""
+    """Posting lists sorted by (n, key, doc_id): each member is linked to the leader that shares most positional bytes, if
+    they are enough, and becomes a leader if they are fewer than SURE and the list has fewer than LEADERS."""
     held, leaders, ids = None, np.zeros((LEADERS, POSITIONS), np.uint8), []
     for batch in batches:
         out: list[tuple] = []
@@ -197,58 +199,109 @@ def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for key, doc_id, sig in zip(keys, batch.column("doc_id").to_pylist(), batch.column("sig").to_pylist(), strict=True):
             if key != held:
                 held, ids = key, []
-            own = np.frombuffer(sig, np.uint8)
+            own, most = np.frombuffer(sig, np.uint8), 0
             if ids:
-                alike = np.flatnonzero((leaders[: len(ids)] == own).sum(axis=1) >= SHARED)
-                if len(alike):
-                    out.append((ids[alike[0]], doc_id, None, None, None))
-                    continue
-            if len(ids) < LEADERS:
+                shared = (leaders[: len(ids)] == own).sum(axis=1)
+                best = int(shared.argmax())
+                most = int(shared[best])
+                if most >= SHARED:
+                    out.append((ids[best], doc_id))
+            if most < SURE and len(ids) < LEADERS:
                 leaders[len(ids)] = own
                 ids.append(doc_id)
-            else:
-                out.append((None, doc_id, *key, sig))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "n", "key", "sig"])
+        yield _pairs(out)
 
 
-def similar(signatures: DataFrame) -> DataFrame:
-    """(a, b) with a < b: documents that share SHARED of their positional bytes, as the index finds them.
+def _compared(rows: list[tuple]) -> list[tuple]:
+    """(a, b) with a < b: of the rows (side, doc_id, root, sig) of two pieces, or of one, those under different roots that
+    share enough positional bytes."""
+    if len(rows) < 2:
+        return []
+    side, ids, roots = (np.array(x) for x in list(zip(*rows, strict=True))[:3])
+    sigs = np.frombuffer(b"".join(r[3] for r in rows), np.uint8).reshape(len(rows), -1)
+    out = []
+    for i in range(len(rows) - 1):
+        near = np.flatnonzero((roots[i + 1 :] != roots[i]) & ((side[i + 1 :] != side[i]) | (side[i] < 0))) + i + 1
+        if len(near):
+            near = near[(sigs[near] == sigs[i]).sum(axis=1) >= SHARED]
+            out += [(min(x, y), max(x, y)) for x, y in ((int(ids[i]), int(ids[j])) for j in near)]
+    return out
 
-    Posting keys are again four positional bytes; at a similarity of 0.8 a pair misses all of the KEYS lists with a chance
-    of 3e-5. In a list, members are compared with its leaders and not with each other, so work is linear in its length.
-    """
-    n = partitions(signatures.sparkSession)
+
+def _met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, rows = None, []
+    for batch in batches:
+        out: list[tuple] = []
+        keys = zip(*(batch.column(c).to_pylist() for c in ("n", "key", "p", "q")), strict=True)
+        rest = zip(*(batch.column(c).to_pylist() for c in ("side", "doc_id", "root", "sig")), strict=True)
+        for key, row in zip(keys, rest, strict=True):
+            if key != held:
+                out += _compared(rows)
+                held, rows = key, []
+            rows.append(row)
+        yield _pairs(out)
+    yield _pairs(_compared(rows))
+
+
+def _pairs(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 2
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
+
+
+def _posted(signatures: DataFrame) -> DataFrame:
+    """Posting keys are again four positional bytes; a pair with a similarity of 0.8 misses all KEYS lists with a chance of 3e-5."""
     at = lambda k: F.conv(F.hex(F.substring("sig", 4 * k + 1, 4)), 16, 10).cast("long")
     entries = F.array(*[F.struct(F.lit(k).alias("n"), at(k).alias("key")) for k in range(KEYS)])
-    todo = signatures.select("doc_id", "sig", F.explode(entries).alias("e")).select("e.n", "e.key", "doc_id", "sig")
-    edges = None
-    while True:
-        dealt = todo.repartition(n, "n", "key").sortWithinPartitions("n", "key", "doc_id")
-        found = cut(dealt.select("n", "key", "doc_id", "sig").mapInArrow(_led, "a long, b long, n int, key long, sig binary"))
-        linked = found.where("a is not null and a <> b").select("a", "b")
-        edges = linked if edges is None else edges.union(linked)
-        todo = found.where("a is null").select("n", "key", F.col("b").alias("doc_id"), "sig")
-        if not todo.limit(1).count():
-            return edges.distinct()
+    return signatures.withColumn("e", F.explode(entries)).select("e.n", "e.key", *signatures.columns)
+
+
+def leading(signatures: DataFrame) -> DataFrame:
+    """(a, b): candidates between members and leaders of the lists; linear in their length, but not all there are."""
+    n = partitions(signatures.sparkSession)
+    posted = _posted(signatures.select("doc_id", "sig")).repartition(n, "n", "key").sortWithinPartitions("n", "key", "doc_id")
+    return posted.select("n", "key", "doc_id", "sig").mapInArrow(_led, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def similar(signatures: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(a, b) with a < b: all documents that meet in a list and share SHARED of their positional bytes, without those that
+    have the same root in roots (node, root) already.
+
+    Lists under one root drop out. The others are dealt in pieces, and each two pieces of a list meet in a group of their own.
+    """
+    n = partitions(signatures.sparkSession)
+    nodes = signatures.select("doc_id", "sig", F.col("doc_id").alias("root"))
+    if roots is not None:
+        known = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("r"))
+        nodes = nodes.join(known, "doc_id", "left").select("doc_id", "sig", F.coalesce("r", "root").alias("root"))
+    nodes = cut(nodes)
+    posted = _posted(nodes)
+    mixed = posted.groupBy("n", "key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    pieces = F.ceil(F.col("size") / PIECE).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")
+    dealt = posted.join(mixed.select("n", "key", pieces.alias("pieces")), ["n", "key"]).withColumn("own", own)
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
+    dealt = dealt.select("n", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "doc_id", "root", "sig")
+    groups = dealt.repartition(n, "n", "key", "p", "q").sortWithinPartitions("n", "key", "p", "q", "doc_id")
+    return groups.mapInArrow(_met, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The documents without all but the one with the smallest id of each near-duplicate group.
 
-    Groups are first those of near_duplicates(); of what is left, documents with a similarity of 0.8 or more on five-word
-    shingles are a group too. An index of POSITIONS positional bytes finds candidates, and their shingles decide. Blank
-    texts are alike. Rows with equal ids stay or go together; rows without an id stay.
+    Groups are connected over two kinds of links: those of near_duplicates(), and a similarity of 0.8 or more on five-word
+    shingles. An index of POSITIONS positional bytes finds candidates, and their shingles decide; first those between the
+    leaders and members of long lists, then all between documents that are not in one group yet. Blank texts are alike.
+    Rows with equal ids stay or go together; rows without an id stay.
     """
-    found = near_duplicates(docs)
-    gone = cut(found.where("doc_id <> component_id").select("doc_id").distinct())
-    signed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_signed, "doc_id long, g long, sig binary")
-    signed = cut(signed.join(gone, "doc_id", "left_anti"))
+    found = near_duplicates(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    found = cut(found)
+    signed = cut(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("doc_id is not null").mapInArrow(_signed, "doc_id long, g long, sig binary"))
     classes = cut(signed.groupBy("g").agg(F.min("doc_id").alias("least"), F.any_value("sig").alias("sig")))
-    pairs = verified(similar(classes.select(F.col("g").alias("doc_id"), "sig")), signed, docs)
-    least = classes.select("g", "least")
+    signatures, least = classes.select(F.col("g").alias("doc_id"), "sig"), classes.select("g", "least")
+    led = verified(leading(signatures), signed, docs)
+    pairs = led.union(verified(similar(signatures, components(led)), signed, docs))
     near = pairs.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = signed.join(least, "g").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))
-    roots = components(near.union(same))
-    gone = gone.union(roots.where("node <> root").select(F.col("node").alias("doc_id")))
+    gone = components(found.union(near).union(same)).where("node <> root").select(F.col("node").alias("doc_id"))
     return docs.join(gone, "doc_id", "left_anti")

@@ -130,3 +130,34 @@ def test_blanks_do_not_matter_to_shingles(spark):
         w[60] = "another"
         rows.append((2 * n + 1, "\r\n".join("\t".join(w[i : i + 10]) for i in range(0, 300, 10))))
     assert {x.doc_id for x in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()} == {2 * n for n in range(20)}
+
+
+def test_chains_join_one_group(spark):
+    """A and B, B and C are alike but not A and C: all chains are one group, whichever of their members comes first."""
+    r = random.Random(10)
+    word = lambda: f"w{r.getrandbits(40):x}"
+    rows, want = [], set()
+    for n in range(120):
+        b = [word() for _ in range(400)]
+        a, c = [word() for _ in range(25)] + b[25:], b[:360] + [word() for _ in range(40)]
+        assert len(five(" ".join(a)) & five(" ".join(c))) < 0.75 * len(five(" ".join(a)) | five(" ".join(c)))
+        rows += list(zip((3 * n, 3 * n + 1, 3 * n + 2), map(" ".join, ((a, b, c), (a, c, b), (b, a, c))[n % 3]), strict=True))
+        want.add(3 * n)
+    assert {x.doc_id for x in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()} == want
+
+
+def test_pairs_of_a_long_list(spark, monkeypatch):
+    """Lists of many pieces: all pairs are found, each once, but none under one root."""
+    monkeypatch.setattr(simhash, "PIECE", 10)
+    r = random.Random(11)
+    sigs = {}
+    for i in range(30):
+        base = bytes([1, 2, 3, 4]) + r.randbytes(simhash.POSITIONS - 4)
+        for j in range(3):
+            sigs[100 * i + j] = base[: simhash.POSITIONS - 20 * j] + r.randbytes(20 * j)
+    df = spark.createDataFrame([(k, bytearray(v)) for k, v in sigs.items()], "doc_id long, sig binary")
+    want = {(a, b) for a in sigs for b in sigs if a < b and sum(x == y for x, y in zip(sigs[a], sigs[b], strict=True)) >= simhash.SHARED}
+    got = [(e.a, e.b) for e in simhash.similar(df).collect()]
+    assert len(want) == 90 and sorted(got) == sorted(want)
+    roots = spark.createDataFrame([(a, a - a % 100) for a in sigs if a < 2500], "node long, root long")
+    assert {(e.a, e.b) for e in simhash.similar(df, roots).collect()} == {p for p in want if p[0] >= 2500}

@@ -4,7 +4,7 @@ Distinct vectors are nodes. The graph starts from exact neighbours within bounde
 Each NN-descent round then joins every node's neighbours, forward and reverse, with each other: members of one list
 are neighbours of neighbours, and a pair is emitted only if it would enter one of the two neighbour lists. Queries walk the
 graph best first, from their own node, until none of the best BEAM found is unexpanded. Distances in graph and walk are of
-vectors rounded to bytes; the nodes a walk ends with are ranked by exact distances of the original vectors.
+vectors rounded to 32-bit floats; the nodes a walk ends with are ranked by exact distances of the original vectors.
 """
 
 from __future__ import annotations
@@ -37,11 +37,11 @@ def usable(v: Column) -> Column:
 
 def _matrix(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.int8).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.int8)
+    return np.frombuffer(b"".join(rows), np.float32).reshape(len(rows), -1) if rows else np.zeros((0, 1), np.float32)
 
 
 def _edges(u, v, d) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.asarray(u, np.int64)), pa.array(np.asarray(v, np.int64)), pa.array(np.asarray(d, np.float32))], names=["u", "v", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(np.asarray(u, np.int64)), pa.array(np.asarray(v, np.int64)), pa.array(np.asarray(d, np.float64))], names=["u", "v", "d"])
 
 
 def _squares(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -53,7 +53,7 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows (tree, id, q) in order: exact neighbours among RUN rows of one order at a time, fewer than twice as many at its end."""
 
     def exact(ids: np.ndarray, q: np.ndarray) -> pa.RecordBatch:
-        a = q.astype(np.float32)
+        a = q.astype(np.float64)
         d = _squares(a, a)
         np.fill_diagonal(d, np.inf)
         k = min(K, len(ids) - 1)
@@ -99,7 +99,7 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Lists (c, m, q, kth): the pairs (u, v) of a list that would enter u's neighbours."""
     for t in _grouped(batches, "c"):
         c, m, kth = (t.column(x).to_numpy() for x in ("c", "m", "kth"))
-        q = _matrix(t.column("q").combine_chunks()).astype(np.float32)
+        q = _matrix(t.column("q").combine_chunks()).astype(np.float64)
         bounds = np.flatnonzero(np.diff(c, prepend=c[0] - 1, append=c[-1] - 1))
         us, vs, ds = [], [], []
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):
@@ -139,10 +139,10 @@ def _best(most: int):
 
 
 def _lists(u, v, d) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.list_(pa.int64())), pa.array(d, pa.list_(pa.float32()))], names=["u", "v", "d"])
+    return pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.list_(pa.int64())), pa.array(d, pa.list_(pa.float64()))], names=["u", "v", "d"])
 
 
-_EDGE, _LIST = "u long, v long, d float", "u long, v array<long>, d array<float>"
+_EDGE, _LIST = "u long, v long, d double", "u long, v array<long>, d array<double>"
 
 
 def _top(edges: DataFrame, most: int) -> DataFrame:
@@ -163,7 +163,7 @@ def _adjacent(graph: DataFrame, seed: int) -> DataFrame:
 
 
 def rounded(nodes: DataFrame) -> DataFrame:
-    """(id, q, keys): vectors as bytes, and their place in each random order. nodes: (id, vec)."""
+    """(id, q, keys): vectors as 32-bit floats, and their place in each random order. nodes: (id, vec)."""
     first = nodes.agg(F.max(F.array_max(F.transform("vec", F.abs))), F.max(F.size("vec"))).first()
     largest, dim = float(first[0] or 1.0), int(first[1] or 1)
     rng = np.random.default_rng(SEED)
@@ -175,7 +175,7 @@ def rounded(nodes: DataFrame) -> DataFrame:
             if not rows:
                 continue
             x = np.array(rows, dtype=np.float64) / largest
-            q = np.rint(x * 127).astype(np.int8)
+            q = x.astype(np.float32)
             side = np.einsum("ni,tpi->ntp", x.astype(np.float32), planes)
             bits = (side[..., :-1] > 0).astype(np.int64)
             gray = np.bitwise_xor.accumulate(bits, axis=-1)  # neighbouring codes differ in one plane
@@ -195,7 +195,7 @@ def graph(nodes: DataFrame, rounds: int | None = None) -> DataFrame:
     ordered = placed.repartitionByRange(n, "tree", "key").sortWithinPartitions("tree", "key", "id")
     lists = cut(_top(ordered.select("tree", "id", "q").mapInArrow(_runs, _EDGE), K))
     for i in range(ROUNDS if rounds is None else rounds):
-        kth = F.when(F.size("d") >= K, F.element_at("d", -1)).otherwise(float("inf")).cast("float")
+        kth = F.when(F.size("d") >= K, F.element_at("d", -1)).otherwise(float("inf")).cast("double")
         state = lists.select(F.col("u").alias("m"), kth.alias("kth")).join(nodes.select(F.col("id").alias("m"), "q"), "m")
         joined = _adjacent(lists, i).join(state, "m").select("c", "m", "q", "kth")
         found = joined.repartition(partitions(nodes.sparkSession), "c").sortWithinPartitions("c").mapInArrow(_pairs, _EDGE)
@@ -218,8 +218,8 @@ def _expanded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         us, vs, ds = [], [], []
         for u, q, bound, ms, qs in zip(*(batch.column(c).to_pylist() for c in ("u", "q", "bound", "ms", "qs")), strict=True):
-            x = np.frombuffer(q, np.int8).astype(np.float32)[None]
-            a = np.frombuffer(qs, np.int8).reshape(len(ms), -1).astype(np.float32)
+            x = np.frombuffer(q, np.float32).astype(np.float64)[None]
+            a = np.frombuffer(qs, np.float32).reshape(len(ms), -1).astype(np.float64)
             d = _squares(x, a)[0]
             m = np.array(ms)
             good = (d < bound) & (m != u)
@@ -240,7 +240,7 @@ def search(lists: DataFrame, nodes: DataFrame, queries: DataFrame, beam: int | N
     wanted = cut(queries.join(vectors.withColumnRenamed("m", "u"), "u"))
     state = cut(lists.join(wanted.select("u"), "u").select("u", "v", "d", F.array().cast("array<long>").alias("done")))
     while True:
-        bound = F.when(F.size("v") >= beam, F.element_at("d", -1)).otherwise(float("inf")).cast("float")
+        bound = F.when(F.size("v") >= beam, F.element_at("d", -1)).otherwise(float("inf")).cast("double")
         todo = F.slice(F.array_except("v", "done"), 1, step)
         ahead = cut(state.select("u", "v", "d", "done", bound.alias("bound"), todo.alias("todo")))
         if not ahead.where(F.size("todo") > 0).limit(1).count():

@@ -53,3 +53,16 @@ def test_recall_with_a_hot_vector_and_clusters(spark):
     got, want = answers(neighbours.nearest(frame(spark, rows), every=50)), brute(rows, 50)
     hits = sum(len({j for _, j in got[k]} & {j for _, j in v}) for k, v in want.items())
     assert hits / sum(map(len, want.values())) > 0.95
+
+
+def test_recall_beside_a_huge_vector_and_in_a_tight_cluster(spark):
+    rng = np.random.default_rng(2)
+    centre = rng.normal(size=16)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=16))]) for i in range(1500)]
+    rows += [(2000 + i, [float(x) for x in np.float32(centre + 1e-3 * rng.normal(size=16))]) for i in range(3000)]
+    rows.append((9999, [1e4] * 16))
+    got, want = answers(neighbours.nearest(frame(spark, rows), every=50)), brute(rows, 50)
+    for part in ([k for k in want if k < 2000], [k for k in want if k >= 2000]):
+        hits = sum(len({j for _, j in got[k]} & {j for _, j in want[k]}) for k in part)
+        print(len(part), hits / (10 * len(part)))
+        assert hits / (10 * len(part)) > 0.95

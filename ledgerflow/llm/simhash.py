@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ledgerflow.llm.common import cut, partitions
+from ledgerflow.llm.common import cut, partitions, slices
 from ledgerflow.llm.components import components
 from ledgerflow.llm.words import Rolling, scan
 
@@ -160,19 +160,19 @@ def _class(found: np.ndarray) -> int:
 
 def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(doc_id, g, sig): g is the same for texts with the same shingles."""
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([_class(x) for x in sets], pa.int64()), pa.array([_lowest(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "g", "sig"])
 
 
 def _shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sets = [shingles(t) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([pa.array([_class(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in sets], pa.binary())], names=["g", "shingles"])
 
 
 def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         x, y = (batch.column(c).to_pylist() for c in ("x", "y"))
         good = pa.array([alike(np.frombuffer(p, np.uint64), np.frombuffer(q, np.uint64)) for p, q in zip(x, y, strict=True)], pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column(c).filter(good) for c in ("a", "b")], names=["a", "b"])
@@ -248,17 +248,20 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b"])
 
 
-def _posted(signatures: DataFrame) -> DataFrame:
-    """Posting keys are again four positional bytes; a pair with a similarity of 0.8 misses all KEYS lists with a chance of 3e-5."""
+def _posted(nodes: DataFrame) -> DataFrame:
+    """(n, key, size, doc_id, root, sig) of nodes (doc_id, root, sig): the lists with more than one root. Posting keys are again
+    four positional bytes; a pair with a similarity of 0.8 misses all KEYS lists with a chance of 3e-5."""
     at = lambda k: F.conv(F.hex(F.substring("sig", 4 * k + 1, 4)), 16, 10).cast("long")
     entries = F.array(*[F.struct(F.lit(k).alias("n"), at(k).alias("key")) for k in range(KEYS)])
-    return signatures.withColumn("e", F.explode(entries)).select("e.n", "e.key", *signatures.columns)
+    posted = nodes.select("doc_id", "root", F.explode(entries).alias("e")).select("e.n", "e.key", "doc_id", "root")
+    lists = posted.groupBy("n", "key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    return cut(posted.join(lists.select("n", "key", "size"), ["n", "key"])).join(nodes.select("doc_id", "sig"), "doc_id")
 
 
 def leading(signatures: DataFrame) -> DataFrame:
     """(a, b): candidates between members and leaders of the lists; linear in their length, but not all there are."""
     n = partitions(signatures.sparkSession)
-    posted = _posted(signatures.select("doc_id", "sig")).repartition(n, "n", "key").sortWithinPartitions("n", "key", "doc_id")
+    posted = _posted(signatures.select("doc_id", "sig", F.col("doc_id").alias("root"))).repartition(n, "n", "key").sortWithinPartitions("n", "key", "doc_id")
     return posted.select("n", "key", "doc_id", "sig").mapInArrow(_led, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
@@ -274,11 +277,9 @@ def similar(signatures: DataFrame, roots: DataFrame | None = None) -> DataFrame:
         known = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("r"))
         nodes = nodes.join(known, "doc_id", "left").select("doc_id", "sig", F.coalesce("r", "root").alias("root"))
     nodes = cut(nodes)
-    posted = _posted(nodes)
-    mixed = posted.groupBy("n", "key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")
-    dealt = posted.join(mixed.select("n", "key", pieces.alias("pieces")), ["n", "key"]).withColumn("own", own)
+    dealt = _posted(nodes).withColumn("pieces", pieces).withColumn("own", own)
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
     side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
     dealt = dealt.select("n", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "doc_id", "root", "sig")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
@@ -19,7 +20,12 @@ from ledgerflow.llm.common import cut
 
 SEQUENCE = 2048
 END = 1
-CELLS = 64
+#: Ranks within a length are counted in cells of about so many pieces.
+ROWS_A_CELL = 10_000
+#: More (length, cell) pairs than this are not broadcast.
+MOST_BROADCAST_CELLS = 1_000_000
+#: The fast encoder's regular expression engine runs out of stack on some hundred thousand blanks in a row.
+_BLANKS, MOST_BLANKS = re.compile(r"\s{10000}"), 10_000
 
 
 def default_tokenizer() -> str:
@@ -33,7 +39,7 @@ def encoder(path: str):
     """text -> ids, as tokenizers gives them for the file with add_special_tokens=False.
 
     The file's vocabulary is loaded into tiktoken, which gives the same ids several times as fast; texts that hold a
-    special token's string go to tokenizers itself.
+    special token's string or a very long run of blanks go to tokenizers itself.
     """
     import tiktoken
     from tokenizers import Tokenizer
@@ -49,7 +55,7 @@ def encoder(path: str):
     fast = tiktoken.Encoding("file", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
     def encode(text: str) -> list[int]:
-        if any(s in text for s in special):
+        if any(s in text for s in special) or (len(text) >= MOST_BLANKS and _BLANKS.search(text)):
             return exact.encode(text, add_special_tokens=False).ids
         return fast.encode_ordinary(text)
 
@@ -133,16 +139,19 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE
 
     A null or empty text is the end id alone. Longer documents are cut every `sequence` ids. Rows with equal ids are
     packed each; null ids are kept; no rows give no rows; other columns are ignored. Only the histogram, at most
-    `sequence` rows, and the patterns made from it reach the driver. Ranks within a length are counted in CELLS cells, so
-    that a length that a third of the pieces share is not ranked by one task.
+    `sequence` rows, and the patterns made from it reach the driver. Ranks within a length are counted in cells, as many as
+    its pieces need, so that a length that a third of the pieces share is not ranked by one task; a piece's cell follows from
+    its number, so equal pieces and ids do not meet in one.
     """
     spark = docs.sparkSession
-    rows = cut(pieces(docs, tokenizer or default_tokenizer(), sequence))
-    rows = rows.withColumn("cell", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(CELLS)))
+    rows = cut(pieces(docs, tokenizer or default_tokenizer(), sequence).withColumn("number", F.monotonically_increasing_id()))
+    histogram = {r[0]: r[1] for r in rows.groupBy("length").agg(F.count("*")).collect()}
+    cells = [-(-histogram.get(k, 0) // ROWS_A_CELL) or 1 for k in range(sequence + 1)]
+    rows = rows.withColumn("cell", F.pmod(F.xxhash64("number"), F.element_at(F.lit(cells), (F.col("length") + 1).cast("int"))))
     counts = rows.groupBy("length", "cell").agg(F.count("*").alias("n"))
     before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     starts = counts.select("length", "cell", before.alias("before"))
-    histogram = {r[0]: r[1] for r in counts.groupBy("length").agg(F.sum("n")).collect()}
+    starts = F.broadcast(starts) if sum(cells) <= MOST_BROADCAST_CELLS else starts
     runs = slots(patterns(histogram, sequence))
     plan = {k: tuple(np.array(x, dtype=np.int64) for x in zip(*v, strict=True)) for k, v in runs.items()}
     shared = spark.sparkContext.broadcast(plan)
@@ -162,7 +171,7 @@ def pack(docs: DataFrame, tokenizer: str | None = None, sequence: int = SEQUENCE
                 offset[own] = off[run]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "start", "length", "ids_crc32", "doc_tokens")], pa.array(seq), pa.array(offset)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
-    in_cell = F.row_number().over(Window.partitionBy("length", "cell").orderBy("doc_id", "start", "ids_crc32"))
-    ranked = rows.withColumn("in_cell", in_cell).join(F.broadcast(starts), ["length", "cell"])  # at most sequence x CELLS rows
+    in_cell = F.row_number().over(Window.partitionBy("length", "cell").orderBy("number"))
+    ranked = rows.withColumn("in_cell", in_cell).join(starts, ["length", "cell"])
     ranked = ranked.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("before") + F.col("in_cell") - 1).cast("long").alias("rank"))
     return ranked.mapInArrow(place, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")

@@ -1,3 +1,4 @@
+import heapq
 import zlib
 from collections import Counter, defaultdict
 
@@ -66,9 +67,44 @@ def check(spark, rows):
     for spots in packs.values():
         ends = [o + n for o, n in sorted(spots)]
         assert [o for o, _ in sorted(spots)] == [0, *ends[:-1]] and ends[-1] <= 2048
+    assert Counter(sum(n for _, n in spots) for spots in packs.values()) == shortest_first([r.length for r in got], 2048)
     return len(packs)
 
 
+def shortest_first(lengths, sequence):
+    """How many packs are filled how far: each length, longest first, into the shortest pack, or a new one if it does not fit."""
+    packs = []
+    for n in sorted(lengths, reverse=True):
+        if packs and packs[0] + n <= sequence:
+            heapq.heapreplace(packs, packs[0] + n)
+        else:
+            heapq.heappush(packs, n)
+    return Counter(packs)
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(1, 64), max_size=200))
+def test_patterns_against_brute_force(lengths):
+    packs = Counter()
+    for p, n in packing.patterns(dict(Counter(lengths)), 64):
+        packs[sum(p)] += n
+    assert packs == shortest_first(lengths, 64)
+
+
+def test_very_long_runs():
+    exact = Tokenizer.from_file(PATH)
+    encode = packing.encoder(PATH)
+    for unit in (" ", "\n", "a", "!", "\n ", "\u00a0"):
+        text = "x" + unit * (1_000_000 // len(unit)) + "y"
+        assert encode(text) == exact.encode(text, add_special_tokens=False).ids
+
+
+def test_one_length_and_id_of_many_rows(spark, monkeypatch):
+    """A length that all rows share is ranked in many cells, whatever their ids and texts."""
+    monkeypatch.setattr(packing, "ROWS_A_CELL", 50)
+    check(spark, [(7, "the same")] * 1500 + [(None, "no id")] * 700 + [(i, "w " * (i % 300)) for i in range(600)])
+
+
 def test_round_trip(spark):
     check(spark, EDGES)
     check(spark, [])

@@ -2,7 +2,8 @@
 
 Every line is good or bad. A line's features are its own and its two neighbours'; a chain ties neighbouring labels. The
 forward-backward marginals that lines are good, weighted by the lines' lengths, give a document's share of good text,
-and a monotone logistic curve turns that share into the score.
+and a monotone logistic curve turns that share into the score. The labels are of documents, so all lines of a document are
+learned with its label: the chain learns how firmly lines of one document agree, and its features decide which way.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from ledgerflow.llm.common import slices, views
+from ledgerflow.llm.common import cut, slices, views
 from ledgerflow.llm.words import scan
 
-#: At most so many labelled documents, those with the smallest hashes of their ids, are learned from.
-SAMPLE = 4000
+#: At most so many labelled documents, those with the smallest hashes of their ids, are learned from; of these as many as have
+#: MOST_LINES lines in all, and none longer than MOST_BYTES.
+SAMPLE, MOST_LINES, MOST_BYTES = 4000, 400_000, 1_000_000
 THRESHOLD = 0.3
 STEPS = 160
 _KINDS = np.zeros(256, dtype=np.int64)
@@ -157,19 +160,38 @@ def score(texts: list[str | None], model: dict[str, np.ndarray]) -> np.ndarray:
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches):
         rows = [lines(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([x.astype("<f4").tobytes() for x, _ in rows], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in rows], pa.binary())], names=["label", "x", "w"])
+        made = [pa.array([len(w) for _, w in rows], pa.int64()), pa.array([x.astype("<f4").tobytes() for x, _ in rows], pa.binary()), pa.array([w.astype("<f4").tobytes() for _, w in rows], pa.binary())]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "h", "label")], *made], names=["doc_id", "h", "label", "n", "x", "w"])
 
 
 def held_out(id_col: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(5)) == 0, F.lit(False))
 
 
+def bounded(rows: DataFrame, most: int) -> DataFrame:
+    """One row for each doc_id, that with the smallest h, in the order of the ids' hashes, while the sum of n stays within `most`.
+
+    rows: (doc_id, h, n, …) of a bounded number of ids; what the driver gets of them is bounded by this. A row with over a
+    twentieth of `most` does not count, so that few rows cannot take all room.
+    """
+    rest = [c for c in rows.columns if c not in ("doc_id", "h")]
+    one = cut(rows.where(F.col("n") <= most // 20).groupBy("doc_id").agg(F.min_by(F.struct(*rest), "h").alias("r")).select("doc_id", "r.*"))
+    order = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fits = one.select("doc_id", F.sum("n").over(order).alias("so_far")).where(F.col("so_far") <= most).select("doc_id")
+    return one.join(F.broadcast(fits), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id")
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict[str, np.ndarray]:
-    """The model of the labelled documents that are not held out. The driver gets line features of `sample` documents."""
+    """The model of the labelled documents that are not held out.
+
+    The driver gets line features of at most `sample` documents and MOST_LINES lines, whatever rows share an id.
+    """
     known = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull() & ~held_out()).groupBy("doc_id").agg(F.max("quality").alias("label"))
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").select(F.col("label").cast("int"), "text")
-    got = rows.mapInArrow(_features, "label int, x binary, w binary").toArrow()
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES).join(F.broadcast(known), "doc_id")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.col("label").cast("int").alias("label"), "text")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    got = bounded(rows.mapInArrow(_features, f"doc_id {kind}, h long, label int, n long, x binary, w binary"), MOST_LINES).toArrow()
     xs = [v.reshape(-1, FEATURES) for v in views(got.column("x"), "<f4")]
     ws = views(got.column("w"), "<f4")
     label = (np.array(got.column("label").to_pylist(), dtype=np.int64) > 0).astype(np.int64)
@@ -182,7 +204,7 @@ def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) ->
     """(doc_id, held_out, score, predicted) for every document.
 
     Null and empty texts are one empty line, and get the score of that line. Null ids are not held out. Repeated ids get
-    a row each. Without labels of both kinds every score is the same. Labels, language, source and id are no features.
+    a row each, and are learned from once. Without labels of both kinds every score is the same. Labels, language, source and id are no features.
     Nothing is shuffled but the ids of labels.
     """
     model = learn(docs, labels, sample)

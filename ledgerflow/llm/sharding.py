@@ -5,7 +5,8 @@ totals of key ranges and a running sum within each, so no task sees more than it
 For that, groups of equal texts that weigh at least SHARE of a shard come first in their shard; there are at most
 shards / SHARE of them, whatever the input, so they are planned one by one. A group heavier than a shard is the only kind
 that is divided, by the rank of its rows. All lighter groups follow in the order of their text's hash and fill what is
-left of each shard's target.
+left of each shard's target. Prefix sums run over groups, not rows; where each shard's groups begin is then one key a shard,
+and every row finds its shard by comparing its own key with these.
 """
 
 from __future__ import annotations
@@ -60,16 +61,18 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
 
     size: the text's UTF-8 bytes plus OVERHEAD; a null text has none, and is equal to an empty one in text_crc32 and as a
     group. Null and repeated ids are kept, a row each. Slots are gapless within a shard. grown_shard is null under this
-    law. No rows give no rows.
+    law. No rows give no rows. Rows are spread over cells by their number, so neither an id nor a text that many share is
+    ranked by one task.
     """
     spark = docs.sparkSession
-    rows = cut(docs.select(F.col("doc_id").cast("long"), (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"), *text_key(F.col("text"))[:2]))
+    rows = cut(docs.select(F.col("doc_id").cast("long"), (F.coalesce(F.octet_length("text"), F.lit(0)) + OVERHEAD).cast("long").alias("size"), *text_key(F.col("text"))[:2], F.monotonically_increasing_id().alias("number")))
     key = ["text_h", "text_crc32", "size"]
     groups = rows.groupBy(*key).agg(F.count("*").alias("n"))
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     target = (total or 1) / shards
     n_ranges = ranges(count)
-    large = groups.where(F.col("n") * F.col("size") >= target * SHARE).select(*key, "n").collect()  # at most shards / SHARE
+    groups = cut(groups.withColumn("weight", F.col("n") * F.col("size")))
+    large = groups.where(F.col("weight") >= target * SHARE).select(*key, "n").collect()  # at most shards / SHARE
     parts, loads = plan_large([tuple(r) for r in large], target, shards)
 
     wholes, divided = [], []
@@ -83,33 +86,37 @@ def shard_by_bytes(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     planned = [{k: p[k] for k in key} | {"own": p["shard"], "runs": []} for p in wholes] + [dict(zip(key, k, strict=True)) | {"own": None, "runs": v} for k, v in by_group.items()]
     plan = F.broadcast(_inline(spark, planned, "text_h bigint, text_crc32 bigint, size bigint, own int, runs array<struct<end: bigint, shard: int>>"))
 
-    marked = rows.join(plan, key, "left").withColumn("cell", F.pmod(F.xxhash64("doc_id", F.lit(7)), F.lit(n_ranges)))
-
-    # light groups: running bytes = total of the ranges before + running sum in the range, through the end of the group
+    # light groups: running bytes = total of the ranges before + running sum in the range, through the group
     room, capacity = 0.0, []
     for load in loads:
         room += max(target - load, 0.0)
         capacity.append(room)
-    light = marked.where(F.col("runs").isNull()).withColumn("range", F.pmod(F.shiftrightunsigned("text_h", 20), F.lit(n_ranges)))
-    totals = light.groupBy("range").agg(F.sum("size").alias("bytes"))
+    spot = F.pmod(F.shiftrightunsigned("text_h", 20), F.lit(n_ranges))
+    light = groups.where(F.col("weight") < target * SHARE).withColumn("range", spot)
+    totals = light.groupBy("range").agg(F.sum("weight").alias("bytes"))
     before = totals.select("range", F.coalesce(F.sum("bytes").over(Window.orderBy("range").rowsBetween(*_BEFORE)), F.lit(0)).alias("before"))
-    through = F.sum("size").over(Window.partitionBy("range").orderBy("text_h", "text_crc32", "size").rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    position = F.col("before") + F.col("through") - 0.5
+    through = F.sum("weight").over(Window.partitionBy("range").orderBy(*key).rowsBetween(Window.unboundedPreceding, Window.currentRow))
     cuts = F.lit(capacity[:-1] or [float("inf")])
-    light = light.withColumn("through", through).join(before, "range").withColumn("shard", F.size(F.filter(cuts, lambda c: c <= position)).cast("int"))
-
-    # whole large groups, and rows of divided groups by their rank
-    whole = marked.where(F.col("own").isNotNull()).withColumn("shard", F.col("own"))
+    place = light.withColumn("through", through).join(before, "range").select(*key, "range", F.size(F.filter(cuts, lambda c: c <= F.col("before") + F.col("through") - 0.5)).cast("int").alias("shard"))
+    begins = place.groupBy("shard").agg(F.min(F.struct("range", *key)).alias("k")).select("k.*", "shard").collect()  # a row for each shard
+    bounds = [r.asDict() for r in sorted(begins, key=lambda r: r["shard"])]
+    known = F.from_json(F.lit(json.dumps(bounds)), "array<struct<range: bigint, text_h: bigint, text_crc32: bigint, size: bigint, shard: int>>")
+    own_key = F.struct(spot.cast("long").alias("range"), *key)
+    begun = F.filter(known, lambda b: F.struct(b["range"].alias("range"), *[b[k].alias(k) for k in key]) <= own_key)
+
+    marked = rows.join(plan, key, "left").withColumn("cell", F.pmod(F.xxhash64("number"), F.lit(n_ranges)))
+    columns = ["doc_id", "size", "text_crc32", "number", "cell", "shard"]
+    direct = marked.where(F.col("own").isNotNull() | F.col("runs").isNull()).withColumn("shard", F.coalesce("own", F.try_element_at(begun, F.lit(-1))["shard"]))
+
+    # rows of divided groups by their rank
     over = marked.where(F.col("own").isNull() & F.col("runs").isNotNull())
     counts = over.groupBy(*key, "cell").agg(F.count("*").alias("n"))
     ahead = counts.select(*key, "cell", F.coalesce(F.sum("n").over(Window.partitionBy(*key).orderBy("cell").rowsBetween(*_BEFORE)), F.lit(0)).alias("ahead"))
-    rank = F.row_number().over(Window.partitionBy(*key, "cell").orderBy("doc_id")) + F.col("ahead")
+    rank = F.row_number().over(Window.partitionBy(*key, "cell").orderBy("number")) + F.col("ahead")
     over = over.join(ahead, [*key, "cell"]).withColumn("rank", rank).withColumn("shard", F.filter("runs", lambda r: r["end"] >= F.col("rank"))[0]["shard"])
 
-    columns = ["doc_id", "size", "text_crc32", "text_h", "cell", "shard"]
-    placed = light.select(*columns).unionByName(whole.select(*columns)).unionByName(over.select(*columns))
-    placed = cut(placed)
+    placed = cut(direct.select(*columns).unionByName(over.select(*columns)))
     counts = placed.groupBy("shard", "cell").agg(F.count("*").alias("n"))
     ahead = counts.select("shard", "cell", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("cell").rowsBetween(*_BEFORE)), F.lit(0)).alias("ahead"))
-    slot = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("doc_id", "text_h")) - 1 + F.col("ahead")
+    slot = F.row_number().over(Window.partitionBy("shard", "cell").orderBy("number")) - 1 + F.col("ahead")
     return placed.join(ahead, ["shard", "cell"]).select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", slot.cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

@@ -3,7 +3,9 @@
 The labels say whether a document is toxic and whether it is good. From them and the text come three categories, in the
 chain's order: `dense` (toxic, and at least half as full of tell-tale words as the median toxic document), `junk`
 (toxic and of low quality), and `toxic`. Each is a linear model of word features and of the probabilities of the
-categories before it. Those inputs are out-of-fold in training: each row's come from models that have not seen it.
+categories before it. Those inputs are out-of-fold in training: each row's come from models that have not seen it, whose
+features were selected, and whose median was taken, without it. The labels have one toxicity column; the first two categories
+are made from it, the quality label and the text, and serve the last.
 """
 
 from __future__ import annotations
@@ -17,9 +19,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import restored, set_aside, slices, views
+from ledgerflow.llm.quality import bounded
 
-#: At most so many labelled toxic and other documents, those with the smallest hashes of their ids, are learned from.
-SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 3000
+#: At most so many labelled toxic and other documents, those with the smallest hashes of their ids, are learned from; of these as
+#: many as have MOST_FEATURES features in all, and none longer than MOST_BYTES.
+SAMPLE_TOXIC, SAMPLE_CLEAN, MOST_FEATURES, MOST_BYTES = 1500, 3000, 20_000_000, 1_000_000
 CHAIN = ("dense", "junk", "toxic")
 FOLDS = 5
 BUCKETS = 1 << 20
@@ -74,10 +78,11 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counter = Counter()
     for batch in slices(batches):
         rows = [counter.count(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("toxic"), batch.column("quality"), pa.array([np.array(f, "<i4").tobytes() for f, _, _ in rows], pa.binary()), pa.array([np.minimum(np.array(c, np.int64), 255).astype("u1").tobytes() for _, c, _ in rows], pa.binary()), pa.array([n for _, _, n in rows], pa.int64())],
-            names=["toxic", "quality", "features", "counts", "words"],
-        )
+        made = [
+            pa.array([len(f) for f, _, _ in rows], pa.int64()), pa.array([np.array(f, "<i4").tobytes() for f, _, _ in rows], pa.binary()),
+            pa.array([np.minimum(np.array(c, np.int64), 255).astype("u1").tobytes() for _, c, _ in rows], pa.binary()), pa.array([n for _, _, n in rows], pa.int64()),
+        ]
+        yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "h", "toxic", "quality")], *made], names=["doc_id", "h", "toxic", "quality", "n", "features", "counts", "words"])
 
 
 def fit_linear(x: np.ndarray, y: np.ndarray, steps: int = STEPS, penalty: float = 2e-4) -> np.ndarray:
@@ -99,20 +104,21 @@ def predict_linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: int = FOLDS) -> list[np.ndarray]:
-    """A model for each column of labels; each sees the features and the out-of-fold probabilities of those before it."""
-    fold = np.arange(len(x)) % folds
-    models, seen = [], x
+def fit_chain(x: np.ndarray, labels: np.ndarray, away: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+    """A model for each column of labels; each sees the features and the out-of-fold probabilities of those before it.
+
+    away: for each fold which rows are in it, and features and labels of all rows as they are made without those rows.
+    """
+    models, probs = [], np.zeros((len(x), 0), x.dtype)
     for k in range(labels.shape[1]):
-        y = labels[:, k]
-        models.append(fit_linear(seen, y))
+        models.append(fit_linear(np.hstack((x, probs)), labels[:, k]))
         if k + 1 < labels.shape[1]:
             out = np.zeros((len(x), 1), x.dtype)
-            for f in range(folds):
-                away = fold != f
-                if (~away).any():
-                    out[~away, 0] = predict_linear(seen[~away], fit_linear(seen[away], y[away]))
-            seen = np.hstack((seen, out))
+            for own, fold_x, fold_labels in away:
+                seen = np.hstack((fold_x, probs))
+                if own.any():
+                    out[own, 0] = predict_linear(seen[own], fit_linear(seen[~own], fold_labels[~own, k]))
+            probs = np.hstack((probs, out))
     return models
 
 
@@ -142,30 +148,55 @@ def select(features: list[np.ndarray], toxic: np.ndarray, most: int = SELECTED)
     return {int(f): i for i, f in enumerate(top[chi[top] > 0])}
 
 
-def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> dict:
-    """The selected features and the chain's models. The driver gets hashed counts of the bounded sample."""
-    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).cast("int").alias("quality"))
-    known = known.withColumn("h", F.xxhash64("doc_id"))
-    first = known.where("toxic > 0").orderBy("h", "doc_id").limit(toxic_rows)
-    sample = first.union(known.where("toxic <= 0").orderBy("h", "doc_id").limit(clean_rows))
-    got = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select("toxic", "quality", "text").mapInArrow(_counted, "toxic int, quality int, features binary, counts binary, words long").toArrow()
-    toxic = (np.array(got.column("toxic").to_pylist(), np.int64) > 0).astype(np.int64)
-    low = np.array(got.column("quality").to_pylist(), np.int64) <= 0
-    features, sizes = views(got.column("features"), "<i4"), views(got.column("counts"), "u1")
-    words = np.array(got.column("words").to_pylist(), np.float64)
-    selected = select(features, toxic)
-    counts = np.zeros((len(toxic), len(selected)), np.float32)
+def _table(features: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, selected: dict[int, int]) -> np.ndarray:
+    """Values of the selected features for each row."""
+    out = np.zeros((len(features), len(selected)), np.float32)
     place = np.full(BUCKETS, -1, np.int32)
     place[list(selected)] = list(selected.values())
-    for i, (f, c) in enumerate(zip(features, sizes, strict=True)):
+    for i, (f, c) in enumerate(zip(features, counts, strict=True)):
         at = place[f]
-        counts[i, at[at >= 0]] = c[at >= 0]
-    x = _scaled(counts, words)
+        out[i, at[at >= 0]] = c[at >= 0]
+    return _scaled(out, words)
+
+
+def _categories(x: np.ndarray, toxic: np.ndarray, low: np.ndarray, used: np.ndarray) -> np.ndarray:
+    """The chain's labels of all rows; the median is that of the used ones."""
     density = x.sum(axis=1)
-    middle = float(np.median(density[toxic > 0])) if toxic.any() else 0.0
-    y = np.column_stack(((toxic > 0) & (density >= middle / 2), (toxic > 0) & low, toxic > 0)).astype(np.float32)
-    order = np.argsort([zlib.crc32(f.tobytes()) for f in features], kind="stable")  # folds do not depend on row order
-    return {"selected": selected, "models": fit_chain(x[order], y[order]) if len(x) else []}
+    own = density[(toxic > 0) & used]
+    middle = float(np.median(own)) if len(own) else 0.0
+    return np.column_stack(((toxic > 0) & (density >= middle / 2), (toxic > 0) & low, toxic > 0)).astype(np.float32)
+
+
+def fitted(features: list[np.ndarray], counts: list[np.ndarray], words: np.ndarray, toxic: np.ndarray, low: np.ndarray, folds: int = FOLDS) -> dict:
+    """The selected features and the chain's models."""
+    selected = select(features, toxic)
+    if not len(toxic):
+        return {"selected": selected, "models": []}
+    everything = np.ones(len(toxic), bool)
+    x = _table(features, counts, words, selected)
+    fold, away = np.arange(len(toxic)) % folds, []
+    for f in range(folds):
+        own = fold == f
+        kept = select([v for v, o in zip(features, own, strict=True) if not o], toxic[~own])
+        fold_x = _table(features, counts, words, kept)
+        away.append((own, fold_x, _categories(fold_x, toxic, low, ~own)))
+    return {"selected": selected, "models": fit_chain(x, _categories(x, toxic, low, everything), away)}
+
+
+def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> dict:
+    """The selected features and the chain's models. The driver gets hashed counts of the bounded sample, whatever rows share an
+    id."""
+    known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).cast("int").alias("quality"))
+    known = known.withColumn("o", F.xxhash64("doc_id"))
+    first = known.where("toxic > 0").orderBy("o", "doc_id").limit(toxic_rows)
+    sample = first.union(known.where("toxic <= 0").orderBy("o", "doc_id").limit(clean_rows)).drop("o")
+    rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES).join(F.broadcast(sample), "doc_id")
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    counted = rows.select("doc_id", F.xxhash64("text").alias("h"), "toxic", "quality", "text").mapInArrow(_counted, f"doc_id {kind}, h long, toxic int, quality int, n long, features binary, counts binary, words long")
+    got = bounded(counted, MOST_FEATURES).toArrow()  # in the order of the ids' hashes, so folds do not depend on row order
+    toxic = (np.array(got.column("toxic").to_pylist(), np.int64) > 0).astype(np.int64)
+    low = np.array(got.column("quality").to_pylist(), np.int64) <= 0
+    return fitted(views(got.column("features"), "<i4"), views(got.column("counts"), "u1"), np.array(got.column("words").to_pylist(), np.float64), toxic, low)
 
 
 def probabilities(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:
@@ -196,7 +227,8 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """(doc_id, p_dense, p_junk, p_toxic, toxic) for every document; toxic is 1 from THRESHOLD on.
 
     Null and empty texts have no words and get the constant's probability, which is low. Null and repeated ids get a row
-    each. Without toxic labels nothing is toxic. Null labels are left out; of repeated ones the worst counts.
+    each, and are learned from once. Without toxic labels nothing is toxic. Null labels are left out; of repeated ones the worst
+    counts.
     """
     scored = probabilities(docs.withColumn("doc_id", F.col("doc_id").cast("long")), learn(docs, labels))
     return scored.withColumn("toxic", (F.col("p_toxic") >= THRESHOLD).cast("int"))

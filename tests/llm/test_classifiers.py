@@ -1,4 +1,5 @@
 import itertools
+import math
 
 import numpy as np
 import pandas as pd
@@ -66,11 +67,78 @@ def test_chain_uses_earlier_probabilities():
     x = rng.normal(size=(400, 3)).astype(np.float32)
     first = (x[:, 0] > 0).astype(np.float32)
     y = np.column_stack((first, first * (x[:, 1] > 0)))
-    models = toxicity.fit_chain(x, y)
+    models = toxicity.fit_chain(x, y, [(np.arange(400) % 5 == f, x, y) for f in range(5)])
     assert [len(m) for m in models] == [4, 5] and models[1][3] > 0
     assert ((toxicity.predict_chain(x, models) > 0.5) == y).mean() > 0.9
 
 
+def test_out_of_fold_inputs_do_not_see_their_fold(monkeypatch):
+    """Labels and features of a fold are changed: what its models select and predict for it stays."""
+    rng = np.random.default_rng(2)
+    toxic = (np.arange(200) % 3 == 0).astype(np.int64)
+    features = [np.unique(rng.integers(0, 60, 12) + 100 * t).astype("<i4") for t in toxic]
+    counts = [np.ones(len(f), np.uint8) for f in features]
+    seen = []
+    monkeypatch.setattr(toxicity, "fit_chain", lambda x, y, away: seen.append(away) or [])
+    own = np.arange(200) % 5 == 0
+    toxicity.fitted(features, counts, np.full(200, 50.0), toxic, toxic > 0)
+    toxicity.fitted([f + 7 if o else f for f, o in zip(features, own, strict=True)], counts, np.full(200, 50.0), np.where(own, 1 - toxic, toxic), toxic > 0)
+    (_, x0, y0), (_, x1, y1) = seen[0][0], seen[1][0]
+    assert np.array_equal(x0[~own], x1[~own]) and np.array_equal(y0[~own], y1[~own]) and x0.shape == x1.shape
+
+
+def test_quality_scores_against_brute_force(spark):
+    """Scores of short documents by a sum over all labelings of their lines."""
+    d, labels = tables(spark)
+    model = quality.learn(d, labels)
+    rows = [(i, t) for i, t in EDGES if t is None or len(t) < 5000] + [(100 + n, "\n".join(f"line {k} of {n}!! | {'x' * (k * n % 40)}" for k in range(n))) for n in range(1, 9)]
+    want = []
+    for i, t in rows:
+        x, w = quality.lines(t)
+        e, tr, total, share = x @ model["theta"], model["trans"], 0.0, 0.0
+        for y in itertools.product((0, 1), repeat=len(w)):
+            p = np.exp(sum(e[k] * y[k] for k in range(len(w))) + sum(tr[y[k], y[k + 1]] for k in range(len(w) - 1)))
+            total += p
+            share += p * float(w @ np.array(y)) / w.sum()
+        want.append((str(i), 1 / (1 + np.exp(-(model["curve"][0] * share / total + model["curve"][1])))))
+    got = quality.score_documents(docs(spark, rows).unionByName(d.limit(0), allowMissingColumns=True), labels.limit(0))
+    assert got.count() == len(rows)
+    scores = quality.score([t for _, t in rows], model)
+    assert np.allclose(sorted(scores), sorted(p for _, p in want))
+
+
+def test_toxicity_against_brute_force(spark):
+    """Every probability of sf0.001 by plain loops over words, features and models."""
+    small = "/root/testdata/sf0.001"
+    d, labels = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/labels.parquet")
+    model = toxicity.learn(d, labels)
+    got = {r.doc_id: (r.p_dense, r.p_junk, r.p_toxic, r.toxic) for r in toxicity.classify(d, labels).collect()}
+    for r in d.collect():
+        words = (r.text or "").lower().split()
+        hits = {}
+        for w in words:
+            for f in toxicity.word_features(w):
+                if f in model["selected"]:
+                    hits[f] = hits.get(f, 0) + 1
+        scale = (1 + max(len(words), 1) / 400) ** 0.5
+        before = []
+        for m in model["models"]:
+            z = float(m[-1]) + sum(float(m[model["selected"][f]]) * math.log1p(n) / scale for f, n in hits.items()) + sum(float(a) * p for a, p in zip(m[len(model["selected"]) : -1], before, strict=True))
+            before.append(1 / (1 + math.exp(-min(max(z, -30), 30))))
+        assert np.allclose(got[r.doc_id][:3], before, atol=1e-3) and (got[r.doc_id][3] == (before[2] >= 0.5) or abs(before[2] - 0.5) < 1e-3)
+
+
+def test_learned_rows_are_bounded(spark):
+    """One labelled id on 100,000 rows, and one document of a million lines: the driver learns from the first once, not from the second."""
+    many = spark.range(100_000).selectExpr("cast(1 as long) as doc_id", "concat('text of row ', id % 50) as text")
+    long = spark.createDataFrame([(2, "a\n" * 1_000_000), (3, "good words of a document"), (4, "BAD!!! $$$")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2, 1 - i % 2) for i in range(1, 5)], "doc_id long, quality int, toxic int")
+    rows = many.union(long)
+    kept = quality.bounded(rows.selectExpr("doc_id", "xxhash64(text) as h", "cast(length(text) as long) as n", "text"), 1000)
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4]
+    assert set(quality.learn(rows, labels)) == {"theta", "trans", "curve"} and len(toxicity.learn(rows, labels)["models"]) == 3
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (4, 1, 0), (None, 0, 1), (9, None, None), (77, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
     none = labels.limit(0)

@@ -1,7 +1,9 @@
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from ledgerflow.llm import sharding
 
@@ -49,3 +51,47 @@ def test_plan_covers_every_row():
     for p in parts:
         rows[p["text_h"]] += range(p["first"], p["end"])
     assert {k: sorted(v) for k, v in rows.items()} == {1: list(range(95)), 2: [0], 3: [0, 1, 2]} and sum(loads) == 950 + 300 + 21
+
+
+def brute(rows, shards):
+    """The shard of each text by a running sum over all groups in one list; None for groups that are divided."""
+    groups = Counter(t or "" for _, t in rows)
+    signed = lambda t: (h := xxhash.xxh64_intdigest(t.encode(), 42)) - (1 << 64 if h >> 63 else 0)
+    size = {t: len(t.encode()) + 16 for t in groups}
+    key = {t: (signed(t), zlib.crc32(t.encode()), size[t]) for t in groups}
+    target = sum(size[t] * n for t, n in groups.items()) / shards
+    large = [t for t, n in groups.items() if n * size[t] >= target * sharding.SHARE]
+    parts, loads = sharding.plan_large([(*key[t], groups[t]) for t in large], target, shards)
+    out = {t: None for t in large}
+    for p in parts:
+        t = next(t for t in large if key[t] == (p["text_h"], p["text_crc32"], p["size"]))
+        if p["end"] - p["first"] == groups[t]:
+            out[t] = p["shard"]
+    n = sharding.ranges(len(rows))
+    at, done, ends = 0, 0, []
+    for load in loads:
+        at += max(target - load, 0.0)
+        ends.append(at)
+    for t in sorted(set(groups) - set(large), key=lambda t: (((key[t][0] % (1 << 64)) >> 20) % n, *key[t])):
+        done += size[t] * groups[t]
+        out[t] = sum(e <= done - 0.5 for e in ends[:-1])
+    return out
+
+
+@pytest.mark.parametrize("shards", [1, 4, 9])
+def test_against_brute_force(spark, shards):
+    rows = [(i, f"text {i % 1400} " * (1 + i % 11)) for i in range(4000)] + [(None, "no id")] * 300 + [(5, f"own {i}") for i in range(300)] + [(i, None) for i in range(40)] + EDGES
+    want = brute(rows, shards)
+    text = {(len((t or "").encode()) + 16, zlib.crc32((t or "").encode())): t or "" for _, t in rows}
+    got, _ = check(spark, rows, shards)
+    assert sum(v is not None for v in want.values()) > 1000
+    for r in got:
+        shard = want[text[r.size, r.text_crc32]]
+        assert shard is None or r.shard == shard
+
+
+def test_a_hundred_thousand_equal_rows(spark):
+    """They have no id and no text; they fill their part of each shard."""
+    rows = spark.range(100_000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text")
+    got = {r.shard: (r.n, r.top) for r in sharding.shard_by_bytes(rows, 7).groupBy("shard").agg(F.count("*").alias("n"), F.max("slot").alias("top")).collect()}
+    assert len(got) == 7 and all(top == n - 1 and abs(n - 100_000 / 7) <= 7 for n, top in got.values())

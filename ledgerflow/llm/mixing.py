@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerflow.llm.common import cut, restored, set_aside
 
@@ -15,9 +16,9 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Without given targets a margin's target is its observed share to this power, made to sum to 1: 1 keeps, 0 levels.
 FLATTEN = {"source": 0.6, "lang": 0.85, "topic": 0.9}
 RATE = 0.6
-ROUNDS = 12
+ROUNDS, ROUNDS_A_JOB = 12, 4
 SEED = 11
-MOST_BROADCAST_CELLS = 100_000
+MOST_BROADCAST_CELLS = MOST_SINGLE_CELLS = 100_000
 NONE = ""
 
 
@@ -74,46 +75,84 @@ def rake(cells: DataFrame, targets: dict[str, dict[str, float]] | None = None, r
     """Cells (source, lang, topic, tokens) with probability p, so that tokens * p has the target margins of rate * tokens.
 
     A probability stops at 1, and later steps then raise the cells that still can grow. A margin whose target is above
-    what its cells hold stays below it.
+    what its cells hold stays below it; residuals() tells by how much. Up to MOST_SINGLE_CELLS cells are raked by one task in
+    few jobs, in which a margin's totals are window sums; more are grouped and joined, a round at a time.
     """
     targets = targets or {}
     base = cut(cells.withColumn("w", F.col("tokens").cast("double")).where("w > 0"))
-    goal = rate * (base.agg(F.sum("w")).first()[0] or 0.0)
-    margins = {d: cut(_margin(base, d, targets.get(d))) for d in DIMENSIONS}
+    n, whole = base.agg(F.count("*"), F.sum("w")).first()
+    goal = rate * (whole or 0.0)
     fitted = base.withColumn("p", F.lit(float(rate)))
-    for _ in range(rounds):
+    for d in DIMENSIONS:
+        fitted = fitted.join(_margin(base, d, targets.get(d)).withColumnRenamed("target", f"t_{d}"), d)
+    single = n <= MOST_SINGLE_CELLS
+    fitted = cut(fitted).coalesce(1) if single else cut(fitted)
+    rest = [*DIMENSIONS, "tokens", "w", *[f"t_{d}" for d in DIMENSIONS]]
+    for i in range(rounds):
         for d in DIMENSIONS:
-            now = fitted.groupBy(d).agg(F.sum(F.col("w") * F.col("p")).alias("now")).join(margins[d], d)
-            step = now.select(d, F.when(F.col("now") > 0, F.col("target") * goal / F.col("now")).otherwise(0.0).alias("step"))
-            fitted = cut(fitted.join(step, d).withColumn("p", F.least(F.lit(1.0), F.col("p") * F.col("step"))).drop("step"))
-    return fitted
+            now = F.sum(F.col("w") * F.col("p"))
+            if single:
+                now = now.over(Window.partitionBy(d))
+            else:
+                fitted, now = fitted.join(fitted.groupBy(d).agg(now.alias("now")), d), F.col("now")
+            step = F.when(now > 0, F.col(f"t_{d}") * goal / now).otherwise(0.0)
+            fitted = fitted.select(*rest, F.least(F.lit(1.0), F.col("p") * step).alias("p"))
+        if not single or (i + 1) % ROUNDS_A_JOB == 0:
+            fitted = cut(fitted).coalesce(1) if single else cut(fitted)
+    return cut(fitted.select(*DIMENSIONS, "tokens", "w", "p"))
+
+
+def residuals(fitted: DataFrame, targets: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """(dimension, value, target, share): of each margin's values the share of tokens wanted and that which the probabilities
+    give. fitted: what rake() gives."""
+    targets = targets or {}
+    whole = fitted.agg(F.sum(F.col("w") * F.col("p")).alias("whole"))
+    out = None
+    for d in DIMENSIONS:
+        got = fitted.groupBy(d).agg(F.sum(F.col("w") * F.col("p")).alias("got")).join(_margin(fitted, d, targets.get(d)), d).crossJoin(F.broadcast(whole))  # one row
+        got = got.select(F.lit(d).alias("dimension"), F.col(d).alias("value"), "target", (F.col("got") / F.col("whole")).alias("share"))
+        out = got if out is None else out.union(got)
+    return out
+
+
+def uniform(doc_id: Column, text: Column, seed: int = SEED) -> Column:
+    """A number in [0, 1) that depends on the seed and the id only; without an id, on the text."""
+    own = F.coalesce(doc_id.cast("string"), F.md5(text), F.lit(NONE))
+    digest = F.md5(F.concat(own, F.lit(f":{seed}")))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
-def uniform(doc_id: Column, seed: int = SEED) -> Column:
-    """A number in [0, 1) that depends on the id and the seed only."""
-    digest = F.md5(F.concat(F.coalesce(doc_id.cast("string"), F.lit(NONE)), F.lit(f":{seed}")))
-    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+def _chances(rows: DataFrame, targets: dict[str, dict[str, float]] | None, rate: float) -> DataFrame:
+    """The rows of weighed() with _p."""
+    keys = {"_source": "source", "_lang": "lang", "_topic": "topic"}
+    cells = rows.groupBy(*[F.col(k).alias(v) for k, v in keys.items()]).agg(F.sum("_tokens").alias("tokens"))
+    chances = rake(cells, targets, rate).select(*[F.col(v).alias(k) for k, v in keys.items()], F.col("p").alias("_p"))
+    small = chances.limit(MOST_BROADCAST_CELLS + 1).count() <= MOST_BROADCAST_CELLS  # else the join shuffles
+    return rows.join(F.broadcast(chances) if small else chances, list(keys), "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
 
 
 def mix(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
     """Every document with _tokens, _topic, _p (its probability) and _kept (whether it is sampled).
 
     Null or empty texts have no tokens, so no margin depends on them: they have probability 0. Null sources or languages
-    are a value of their own. Rows with equal ids are kept or dropped together if their cells agree. Columns of the
-    input stay as they are, but for those with one of the four names. No rows give no rows.
+    are a value of their own. Rows with equal ids are kept or dropped together if their cells agree; rows without an id are drawn
+    by their texts. Columns of the input stay as they are, but for those with one of the four names. No rows give no rows.
     """
     plain, names = set_aside(docs, "doc_id", "text", "source", "lang")
-    rows = weighed(plain)
-    keys = {"_source": "source", "_lang": "lang", "_topic": "topic"}
-    cells = rows.groupBy(*[F.col(k).alias(v) for k, v in keys.items()]).agg(F.sum("_tokens").alias("tokens"))
-    chances = rake(cells, targets, rate).select(*[F.col(v).alias(k) for k, v in keys.items()], F.col("p").alias("_p"))
-    small = chances.limit(MOST_BROADCAST_CELLS + 1).count() <= MOST_BROADCAST_CELLS  # else the join shuffles
-    joined = rows.join(F.broadcast(chances) if small else chances, list(keys), "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
-    own = {"_tokens": F.col("_tokens"), "_topic": F.col("_topic"), "_p": F.col("_p"), "_kept": uniform(F.col("doc_id")) < F.col("_p")}
+    joined = _chances(weighed(plain), targets, rate)
+    own = {"_tokens": F.col("_tokens"), "_topic": F.col("_topic"), "_p": F.col("_p"), "_kept": uniform(F.col("doc_id"), F.col("text")) < F.col("_p")}
     back = [F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True) if c not in own]
     return joined.select(*back, *[c.alias(k) for k, c in own.items()])
 
 
+def decisions(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
+    """What mix() decides, without the texts: (doc_id, source, lang, topic, tokens, probability, kept). Each text is read once."""
+    rows = weighed(docs.select("doc_id", "text", "source", "lang"))
+    small = cut(rows.select("doc_id", "source", "lang", "_source", "_lang", "_topic", "_tokens", uniform(F.col("doc_id"), F.col("text")).alias("_draw")))
+    joined = _chances(small, targets, rate)
+    return joined.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_p", 6).alias("probability"), (F.col("_draw") < F.col("_p")).alias("kept"))
+
+
 def sample(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, rate: float = RATE) -> DataFrame:
     """The sampled documents, with the input's columns."""
     plain, names = set_aside(docs, "doc_id", "text", "source", "lang")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from ledgerflow.llm import fingerprint, html, mixing, neighbours, packing, quality, sharding, simhash, suffix, toxicity
 from ledgerflow.llm.common import table
@@ -30,8 +29,7 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
-    return mixed.select("doc_id", "source", "lang", F.col("_topic").alias("topic"), F.col("_tokens").alias("tokens"), F.round("_p", 6).alias("probability"), F.col("_kept").alias("kept"))
+    return mixing.decisions(table(spark, sf_dir, "documents"))
 
 
 def op7_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -65,8 +63,8 @@ def _mixing_sql() -> str:
         symbols = f"replace({symbols}, '{c}', '')"
     rest = {"|": "replace(text, '|', '')", "symbols": symbols, "upper": "regexp_replace(text, '[A-Z]+', '', 'g')"}
     parts = [
-        "t as (select doc_id, source, lang, text, length(text) as n from documents)",
-        f"""d as (select doc_id, source, lang, coalesce(source, '') as s, coalesce(lang, '') as l, case when n > 0 then strlen(text) - strlen(replace(replace(text, ' ', ''), chr(10), '')) + 1 else 0 end::bigint as tokens,
+        "t as (select doc_id, source, lang, text, length(text) as n, case when doc_id is null then md5(text) end as h from documents)",
+        f"""d as (select doc_id, source, lang, h, coalesce(source, '') as s, coalesce(lang, '') as l, case when n > 0 then strlen(text) - strlen(replace(replace(text, ' ', ''), chr(10), '')) + 1 else 0 end::bigint as tokens,
         case when coalesce(n, 0) = 0 then 'empty' when {share(rest["|"])} > 0.03 then 'table' when {share(rest["symbols"])} > 0.05 then 'symbols' when {share(rest["upper"])} > 0.3 then 'shouting'
         when n < 600 then 'note' when n < 5000 then 'article' else 'long' end as topic from t)""",
         f"f0 as materialized (select s as source, l as lang, topic, sum(tokens)::double as w, {mixing.RATE}::double as p from d group by all having sum(tokens) > 0)",
@@ -82,7 +80,7 @@ def _mixing_sql() -> str:
             last = name
     return (
         "with " + ",\n".join(parts) + f"""
-        select doc_id, d.source, d.lang, d.topic, tokens, round(coalesce(f.p, 0.0), 6) as probability, (('0x' || substr(md5(coalesce(doc_id::varchar, '') || ':{mixing.SEED}'), 1, 12))::bigint / {1 << 48}.0::double) < coalesce(f.p, 0.0) as kept
+        select doc_id, d.source, d.lang, d.topic, tokens, round(coalesce(f.p, 0.0), 6) as probability, (('0x' || substr(md5(coalesce(doc_id::varchar, h, '') || ':{mixing.SEED}'), 1, 12))::bigint / {1 << 48}.0::double) < coalesce(f.p, 0.0) as kept
         from d left join {last} f on f.source = d.s and f.lang = d.l and f.topic = d.topic"""
     )
 

@@ -3,8 +3,9 @@
 Two 64-bit fingerprints at most two bits apart differ in at most two of their eight bytes, so they share at least six
 positional bytes. Posting lists of single positional bytes would each hold 1/256 of all documents, so the index takes its
 entries four positional bytes at a time: bytes are taken in four aligned pairs, two differing bytes spoil at most two of
-the pairs, and the other two pairs make one of the six posting keys. In a posting list the shared positional bytes of a
-pair are tallied, pairs with fewer than the guaranteed six are dropped, and the rest are verified bit by bit.
+the pairs, and the other two pairs make one of the six posting keys. Within a list every member is posted again under each of
+its four other positional bytes; the postings that two members share are tallied, pairs with fewer than two of them, which
+makes fewer than the guaranteed six bytes, are dropped, and the rest are verified bit by bit.
 
 A list longer than LONG is not paired off. Its members share the key's 32 bits, so two of them are at most two bits apart
 exactly if some value is at most one bit from both: each member is entered under itself and its 32 one-bit changes outside
@@ -89,11 +90,13 @@ def links(fps: DataFrame) -> DataFrame:
     sizes = posted.groupBy("n", "key").agg(F.count("*").alias("size")).where("size > 1")
     posted = cut(posted.join(sizes, ["n", "key"]))
 
-    short = posted.where(F.col("size") <= LONG)
-    pairs = short.select("n", "key", F.col("fp").alias("a")).join(short.select("n", "key", F.col("fp").alias("b")), ["n", "key"]).where("a < b")
-    x = F.col("a").bitwiseXOR(F.col("b"))
-    tally = sum((F.when(F.shiftrightunsigned(x, 8 * i).bitwiseAND(F.lit(255)) == 0, 1).otherwise(0) for i in range(8)), F.lit(0))
-    found = pairs.where(tally >= MIN_BYTES).where(F.bit_count(x) <= BITS).select("a", "b")
+    byte = lambda i: F.struct(F.lit(i).alias("at"), F.shiftrightunsigned("fp", 8 * i).bitwiseAND(F.lit(255)).alias("byte"))
+    others = F.coalesce(*[F.when(F.col("n") == n, F.array(*[byte(i) for i in range(8) if i // 2 not in pairs])) for n, pairs in enumerate(_KEYS)])
+    postings = posted.where(F.col("size") <= LONG).select("n", "key", "fp", F.explode(others).alias("o")).select("n", "key", "fp", "o.at", "o.byte")
+    place = ["n", "key", "at", "byte"]
+    meetings = postings.withColumnRenamed("fp", "a").join(postings.withColumnRenamed("fp", "b"), place).where("a < b")
+    tallied = meetings.groupBy("n", "key", "a", "b").agg(F.count("*").alias("shared")).where(F.col("shared") >= MIN_BYTES - 4)
+    found = tallied.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= BITS).select("a", "b")
 
     def one(b: int) -> int:
         return (1 << b) - (1 << 64) if b == 63 else 1 << b

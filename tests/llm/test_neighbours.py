@@ -66,3 +66,16 @@ def test_recall_beside_a_huge_vector_and_in_a_tight_cluster(spark):
         hits = sum(len({j for _, j in got[k]} & {j for _, j in want[k]}) for k in part)
         print(len(part), hits / (10 * len(part)))
         assert hits / (10 * len(part)) > 0.95
+
+
+def test_vectors_that_are_not_in_the_table(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=12))]) for i in range(2000)] + [(3000 + i, [1.0] * 12) for i in range(20)]
+    asked = [(i, [float(x) for x in np.float32(rng.normal(size=12))]) for i in range(40)] + [(50, [1.0] * 12), (51, rows[7][1]), (52, None), (None, [1.0] * 12), (53, [1.0])]
+    got = answers(neighbours.nearest_to(frame(spark, rows), frame(spark, asked)))
+    hits = 0
+    for i, v in asked[:42]:
+        d = sorted((float(np.sqrt(((np.array(v) - np.array(w)) ** 2).sum())), j) for j, w in rows)[:10]
+        hits += len({j for _, j in d} & {j for _, j in got[i]})
+    assert set(got) == {*range(40), 50, 51} and hits / 420 > 0.95 and got[51][0] == (0.0, 7) and [j for _, j in got[50]] == list(range(3000, 3010))
+    assert neighbours.nearest_to(frame(spark, []), frame(spark, asked)).count() == 0 and neighbours.nearest_to(frame(spark, rows), frame(spark, [])).count() == 0

@@ -33,7 +33,11 @@ def numeric_errors(events: DataFrame) -> DataFrame:
     return events.where(bad).select("event_id")
 
 
-def forbidden(prompt: Column, identity: str = r"gpt|terra|sol|модел[ьи]", private: str = r"\breference\b|\bприват\w*\b|\bключ\b") -> Column:
+# What a prompt must not name.
+IDENTITY_WORDS, PRIVATE_WORDS = r"gpt|terra|sol|модел[ьи]", r"\breference\b|\bприват\w*\b|\bключ\b"
+
+
+def forbidden(prompt: Column, identity: str = IDENTITY_WORDS, private: str = PRIVATE_WORDS) -> Column:
     """What a prompt must not name: identity, private, or null."""
     return F.when(F.lower(prompt).rlike(f"(?U){identity}"), "identity").when(F.lower(prompt).rlike(f"(?U){private}"), "private")
 

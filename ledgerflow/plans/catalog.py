@@ -554,29 +554,41 @@ def cues_normalize(spark, sf_dir):
     return timing.repair(_cues(spark, sf_dir), "conv_id").select("conv_id", "idx", "start_ms", "end_ms", "valid")
 
 
-@query(f"""with {_CUES}, s as (select *, list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '') as w from cues), e as (select *, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from s)
+@query(f"""with {_CUES}, s as (select *, list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda w: w <> '') as w from cues), e as (select *, unnest(w) as word, generate_subscripts(w, 1) - 1 as i from s)
 select conv_id, turn as idx, i::bigint as word_idx, word, start_ms / 1000.0::double + (end_ms - start_ms) / 1000.0::double / len(w) * i as start_s from e""")
 def cues_to_words(spark, sf_dir):
     return timing.cue_words(_cues(spark, sf_dir), "conv_id").select("conv_id", "idx", F.col("word_idx").cast("long").alias("word_idx"), "word", "start_s")
 
 
-@query(f"""with {_CUES}, w as (select conv_id, turn, end_ms / 1000.0::double as end_s, len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) as n from cues)
+@query(f"""with {_CUES}, w as (select conv_id, turn, end_ms / 1000.0::double as end_s, len(list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda w: w <> '')) as n from cues)
 select conv_id, turn as idx, n::bigint as n_words, coalesce(sum(n) over (partition by conv_id order by turn rows between unbounded preceding and 1 preceding), 0)::bigint as first_word,
 coalesce(lag(end_s) over (partition by conv_id order by turn), 0) as start_s, case when lead(turn) over (partition by conv_id order by turn) is null then 99.5 else end_s end::double as end_s from w""")
 def cards_contiguous(spark, sf_dir):
-    words = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
+    words = F.size(timing.words_of(F.col("text")))
     c = timing.offsets(_cues(spark, sf_dir), "conv_id", "idx", words).withColumn("end_s", F.col("end_ms") / 1000.0)
     c = timing.contiguous(c, "conv_id", "idx", F.lit(99.5))
     return c.select("conv_id", "idx", F.col("n_words").cast("long").alias("n_words"), F.col("first_word").cast("long").alias("first_word"), "start_s", "end_s")
 
 
+_SPLIT = f"""recursive w as (select conv_id, turn as idx, list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda x: x <> '') as words from conversations),
+k as (select *, len(words) as n, 0.33::double * 0 + (len(words) * 330) / 1000.0::double / len(words) as step from w where len(words) > 0),
+s as (select *, step * n as length, least(greatest(1, ceil(step * n / 5.5), ceil(n / 10.0)), greatest(1, floor(step * n / 1.5)))::bigint as wanted from k),
+c as (select conv_id, idx, words, n, step, wanted as lft, 0::bigint as first, null::bigint as stop, 0 as card from s
+union all select conv_id, idx, words, n, step, case when stop is null then 0 else lft - 1 end, coalesce(stop, n), stop, card + 1 from (
+  select c.conv_id, c.idx, c.words, c.n, c.step, c.lft, c.card, case when c.lft = 1 then c.n else (
+    select arg_min(e, (case when regexp_matches(c.words[e], '[.!?]["»)]*$') then 0 when regexp_matches(c.words[e], '[,;:]["»)]*$') then 1 else 2 end) * 10 + abs(c.step * e - (c.step * c.first + (c.step * c.n - c.step * c.first) / c.lft)) + abs(e - (c.first + round_even((c.n - c.first) / c.lft::double, 0))) * 0.2)
+    from unnest(range(c.first + 1, least(c.n, c.first + 11))) as u(e) where c.step * e - c.step * c.first between 1.5 and 6.5 and c.n - e between c.lft - 1 and 10 * (c.lft - 1) and c.step * c.n - c.step * e <= 6.5 * (c.lft - 1) + 0.01) end as stop
+  from c where c.lft > 0))"""
+
+
 @query()
 def cards_partition(spark, sf_dir):
     """Each turn, spoken at three words a second, split into cards."""
-    c = table(spark, sf_dir, "conversations")
-    n = F.size(F.filter(F.split("text", r"\s+"), lambda w: w != ""))
-    cues = c.select("conv_id", F.col("turn").alias("idx"), "text", F.lit(0).alias("start_ms"), (n * 330).alias("end_ms"))
-    return timing.cards(timing.cue_words(cues, "conv_id"), "conv_id", "idx").select("conv_id", "idx", "card", "text", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "error")
+    c = table(spark, sf_dir, "conversations").withColumn("w", timing.words_of(F.col("text")))
+    step = F.size("w") * 330 / 1000.0 / F.size("w")
+    words = F.transform("w", lambda x, i: F.struct(x.alias("word"), (F.lit(0.0) + step * i).alias("start_s"), (F.lit(0.0) + step * (i + 1)).alias("end_s")))
+    scenes = c.select("conv_id", F.col("turn").alias("idx"), words.alias("words"))
+    return timing.cards(scenes, "conv_id", "idx").select("conv_id", "idx", "card", "text", F.round("start_s", 3).alias("start_s"), F.round("end_s", 3).alias("end_s"), "error")
 
 
 @query("""select conv_id, turn as idx, printf('%02d:%02d:%02d,%03d', turn * 3661500 // 3600000, turn * 3661500 // 60000 % 60, turn * 3661500 // 1000 % 60, turn * 3661500 % 1000) as stamp, turn * 3661500 as ms from conversations""")

@@ -90,7 +90,7 @@ def test_cover_text(spark):
 
 def test_media_logs(spark):
     log = "Duration: 00:00:45.50, x\nStream Video: h264 (High), yuv420p, 1080x1920, 30 fps\nAudio: aac (LC), 44100"
-    loud = '"input_i" : "-16.1", "input_tp" : "-2.0"'
+    loud = '[Parsed_loudnorm_0 @ 0x1]\n{\n\t"input_i" : "-16.1",\n\t"input_tp" : "-2.0",\n\t"input_lra" : "3.10"\n}\n'
     good = ("a", log, loud, bytearray(b"..moov..mdat"))
     rows = [good, ("b", log.replace("aac", "mp3"), *good[2:]), ("c", log.replace("1080x", "720x"), *good[2:]), ("d", log.replace("30 fps", "25 fps"), *good[2:]), ("e", log.replace("45.50", "60.5"), *good[2:]), ("f", log, loud, bytearray(b"mdat moov")), ("g", log, loud.replace("-16.1", "-20"), good[3])]
     df = spark.createDataFrame(rows, "name string, log string, loudness_log string, head binary")

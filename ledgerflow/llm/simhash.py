@@ -38,8 +38,9 @@ _KEYS = list(combinations(range(4), 2))
 #: a chance of 1e-4, and one of the KEYS is equal but for 3e-5; what passes is verified on the shingles.
 SIMILAR_WORDS, POSITIONS, KEYS, LEADERS = 5, 128, 20, 32
 SHARED = round(0.66 * POSITIONS)
-#: A member that shares fewer bytes with every leader than this becomes one itself; so many members are compared in one go.
-SURE, PIECE = round(0.9 * POSITIONS), 512
+#: A member that shares fewer bytes with every leader than this becomes one itself; so many members are compared in one go, and so
+#: many are led at a time.
+SURE, PIECE, LED = round(0.9 * POSITIONS), 512, 4096
 _FACTORS = (np.random.default_rng(SEED).integers(1 << 31, 1 << 32, POSITIONS, dtype=np.uint64) | 1).astype(np.uint32)
 
 
@@ -192,27 +193,62 @@ def verified(pairs: DataFrame, signed: DataFrame, docs: DataFrame) -> DataFrame:
     return cut(sides.select("a", "b", "x", "y").mapInArrow(_alike, "a long, b long"))
 
 
+def _central(sigs: np.ndarray) -> np.ndarray:
+    """The rows in the order of how many positions agree with what most rows have there: the middle of a group of copies first."""
+    if len(sigs) < 4:
+        return np.arange(len(sigs))
+    most = np.array([np.bincount(sigs[:, p], minlength=256).argmax() for p in range(sigs.shape[1])], np.uint8)
+    return np.argsort(-(sigs == most).sum(axis=1), kind="stable")
+
+
+def _to_leaders(ids: np.ndarray, sigs: np.ndarray, leaders: list[tuple[int, np.ndarray]]) -> list[tuple]:
+    """Links (leader, member) of a piece of a list: each member to the leader that shares most positional bytes, if they are enough.
+    A member that shares fewer than SURE with all leaders becomes one, the most central first, up to LEADERS of a piece."""
+    best, who = np.zeros(len(ids), np.int64), np.zeros(len(ids), np.int64)
+
+    def ask(leader: int, sig: np.ndarray) -> None:
+        shared = (sigs == sig).sum(axis=1)
+        shared[ids == leader] = 0
+        better = shared > best
+        best[better], who[better] = shared[better], leader
+
+    for leader, sig in leaders:
+        ask(leader, sig)
+    new: list[tuple[int, np.ndarray]] = []
+    for i in _central(sigs).tolist():
+        if best[i] < SURE:
+            new.append((int(ids[i]), sigs[i].copy()))
+            ask(*new[-1])
+            if len(new) >= LEADERS:
+                break
+    leaders[:] = (leaders + new)[:LEADERS]
+    good = best >= SHARED
+    return list(zip(who[good].tolist(), ids[good].tolist(), strict=True))
+
+
 def _led(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Posting lists sorted by (n, key, doc_id): each member is linked to the leader that shares most positional bytes, if
-    they are enough, and becomes a leader if they are fewer than SURE and the list has fewer than LEADERS."""
-    held, leaders, ids = None, np.zeros((LEADERS, POSITIONS), np.uint8), []
+    """Posting lists sorted by (n, key), in pieces of LED members; the first leaders of a list go on to its later pieces."""
+    held, leaders, ids, sigs = None, [], [], []
+
+    def flush() -> list[tuple]:
+        found = _to_leaders(np.array(ids, np.int64), np.frombuffer(b"".join(sigs), np.uint8).reshape(len(ids), -1), leaders) if ids and len(ids) + len(leaders) > 1 else []
+        ids.clear()
+        sigs.clear()
+        return found
+
     for batch in batches:
         out: list[tuple] = []
         keys = zip(batch.column("n").to_pylist(), batch.column("key").to_pylist(), strict=True)
         for key, doc_id, sig in zip(keys, batch.column("doc_id").to_pylist(), batch.column("sig").to_pylist(), strict=True):
-            if key != held:
-                held, ids = key, []
-            own, most = np.frombuffer(sig, np.uint8), 0
-            if ids:
-                shared = (leaders[: len(ids)] == own).sum(axis=1)
-                best = int(shared.argmax())
-                most = int(shared[best])
-                if most >= SHARED:
-                    out.append((ids[best], doc_id))
-            if most < SURE and len(ids) < LEADERS:
-                leaders[len(ids)] = own
-                ids.append(doc_id)
+            if key != held or len(ids) >= LED:
+                out += flush()
+                if key != held:
+                    held = key
+                    leaders.clear()
+            ids.append(doc_id)
+            sigs.append(sig)
         yield _pairs(out)
+    yield _pairs(flush())
 
 
 def _compared(rows: list[tuple]) -> list[tuple]:
@@ -261,11 +297,30 @@ def _posted(nodes: DataFrame) -> DataFrame:
     return cut(posted.join(lists.select("n", "key", "size"), ["n", "key"])).join(nodes.select("doc_id", "sig"), "doc_id")
 
 
-def leading(signatures: DataFrame) -> DataFrame:
-    """(a, b): candidates between members and leaders of the lists; linear in their length, but not all there are."""
+def _rooted(signatures: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(doc_id, root, sig) with the roots (node, root) known so far, and otherwise each its own."""
+    nodes = signatures.select("doc_id", "sig", F.col("doc_id").alias("root"))
+    if roots is None:
+        return nodes
+    known = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("r"))
+    return nodes.join(known, "doc_id", "left").select("doc_id", "sig", F.coalesce("r", "root").alias("root"))
+
+
+def leading(signatures: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """(a, b): candidates between members and leaders of the lists; linear in their length, but not all there are.
+
+    With the links (a, b) known already, lists under one root drop out, and members with most links come first and lead: the
+    middle of a group that fills many pieces of a list then leads all of them.
+    """
     n = partitions(signatures.sparkSession)
-    posted = _posted(signatures.select("doc_id", "sig", F.col("doc_id").alias("root"))).repartition(n, "n", "key").sortWithinPartitions("n", "key", "doc_id")
-    return posted.select("n", "key", "doc_id", "sig").mapInArrow(_led, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    roots = degrees = None
+    if known is not None:
+        roots = components(known)
+        degrees = known.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
+    posted = _posted(cut(_rooted(signatures, roots)))
+    posted = posted.withColumn("degree", F.lit(0)) if degrees is None else posted.join(degrees, "doc_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
+    ordered = posted.select("n", "key", "degree", "doc_id", "sig").repartition(n, "n", "key").sortWithinPartitions("n", "key", F.desc("degree"), "doc_id")
+    return ordered.select("n", "key", "doc_id", "sig").mapInArrow(_led, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def similar(signatures: DataFrame, roots: DataFrame | None = None) -> DataFrame:
@@ -275,11 +330,7 @@ def similar(signatures: DataFrame, roots: DataFrame | None = None) -> DataFrame:
     Lists under one root drop out. The others are dealt in pieces, and each two pieces of a list meet in a group of their own.
     """
     n = partitions(signatures.sparkSession)
-    nodes = signatures.select("doc_id", "sig", F.col("doc_id").alias("root"))
-    if roots is not None:
-        known = roots.select(F.col("node").alias("doc_id"), F.col("root").alias("r"))
-        nodes = nodes.join(known, "doc_id", "left").select("doc_id", "sig", F.coalesce("r", "root").alias("root"))
-    nodes = cut(nodes)
+    nodes = cut(_rooted(signatures, roots))
     pieces = F.ceil(F.col("size") / PIECE).cast("int")
     own = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")
     dealt = _posted(nodes).withColumn("pieces", pieces).withColumn("own", own)
@@ -304,6 +355,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     classes = cut(signed.groupBy("g").agg(F.min("doc_id").alias("least"), F.any_value("sig").alias("sig")))
     signatures, least = classes.select(F.col("g").alias("doc_id"), "sig"), classes.select("g", "least")
     led = verified(leading(signatures), signed, docs)
+    led = led.union(verified(leading(signatures, led), signed, docs))
     pairs = led.union(verified(similar(signatures, components(led)), signed, docs))
     near = pairs.join(least.toDF("a", "x"), "a").join(least.toDF("b", "y"), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
     same = signed.join(least, "g").where("doc_id <> least").select(F.col("doc_id").alias("a"), F.col("least").alias("b"))

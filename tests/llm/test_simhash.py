@@ -161,3 +161,27 @@ def test_pairs_of_a_long_list(spark, monkeypatch):
     assert len(want) == 90 and sorted(got) == sorted(want)
     roots = spark.createDataFrame([(a, a - a % 100) for a in sigs if a < 2500], "node long, root long")
     assert {(e.a, e.b) for e in simhash.similar(df, roots).collect()} == {p for p in want if p[0] >= 2500}
+
+
+def star(r, n, words=60):
+    """A text of `words` words and n copies with one other word each: the copies are like the first text but not like each other."""
+    base = [f"w{r.getrandbits(40):x}" for _ in range(words)]
+    out = [base]
+    for _ in range(n):
+        w = list(base)
+        w[r.randrange(5, words - 5)] = f"w{r.getrandbits(40):x}"
+        out.append(w)
+    return [" ".join(w) for w in out]
+
+
+def test_a_star_of_copies_makes_no_square_of_candidates(spark, monkeypatch):
+    """The middle comes last by id and lies in one of several pieces; it leads all copies, and few pairs are left to compare."""
+    monkeypatch.setattr(simhash, "LED", 100)
+    texts = star(random.Random(12), 600)
+    rows = [(i, t) for i, t in enumerate([*texts[1:], texts[0]])]
+    assert len(five(texts[1]) & five(texts[2])) < 0.8 * len(five(texts[1]) | five(texts[2])) and len(five(texts[0]) & five(texts[1])) >= 0.8 * len(five(texts[0]) | five(texts[1]))
+    made = []
+    verified = simhash.verified
+    monkeypatch.setattr(simhash, "verified", lambda pairs, *rest: made.append(pairs.count()) or verified(pairs, *rest))
+    assert [x.doc_id for x in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()] == [0]
+    assert len(made) == 3 and sum(made) < 600 * 40 and made[2] < 3000, made

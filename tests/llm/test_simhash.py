@@ -1,6 +1,7 @@
 import random
 import re
 
+import numpy as np
 import xxhash
 
 from ledgerflow.llm import simhash
@@ -185,3 +186,17 @@ def test_a_star_of_copies_makes_no_square_of_candidates(spark, monkeypatch):
     monkeypatch.setattr(simhash, "verified", lambda pairs, *rest: made.append(pairs.count()) or verified(pairs, *rest))
     assert [x.doc_id for x in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()] == [0]
     assert len(made) == 3 and sum(made) < 600 * 40 and made[2] < 3000, made
+
+
+def test_sketches_tell_near_texts_apart():
+    r = np.random.default_rng(13)
+    for n in (40, 300, 900, 5000):
+        own = np.unique(r.integers(0, 1 << 64, n, dtype=np.uint64))
+        others = []
+        for part in (0.5, 0.7, 0.79, 0.81, 0.9, 1.0):
+            kept = r.permutation(own)[: int(len(own) * 2 * part / (1 + part))]
+            others.append(np.unique(np.concatenate((kept, r.integers(0, 1 << 64, len(own) - len(kept), dtype=np.uint64)))))
+        got = simhash._near(simhash.sketch(own), [simhash.sketch(o) for o in others])
+        want = [simhash.alike(own, o) for o in others]
+        assert got.tolist() == want if n < 1000 else (got[3:].all() and not got[:2].any())
+    assert simhash._near(own[:0].astype("<u4"), [simhash.sketch(own)]).tolist() == [False]

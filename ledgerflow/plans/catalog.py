@@ -571,7 +571,7 @@ def cards_contiguous(spark, sf_dir):
 
 
 _SPLIT = f"""recursive w as (select conv_id, turn as idx, list_filter(regexp_split_to_array(text, '{_BLANK}+'), lambda x: x <> '') as words from conversations),
-k as (select *, len(words) as n, 0.33::double * 0 + (len(words) * 330) / 1000.0::double / len(words) as step from w where len(words) > 0),
+k as (select *, len(words) as n, (len(words) * 330) / 1000.0::double / len(words) as step from w where len(words) > 0),
 s as (select *, step * n as length, least(greatest(1, ceil(step * n / 5.5), ceil(n / 10.0)), greatest(1, floor(step * n / 1.5)))::bigint as wanted from k),
 c as (select conv_id, idx, words, n, step, wanted as lft, 0::bigint as first, null::bigint as stop, 0 as card from s
 union all select conv_id, idx, words, n, step, case when stop is null then 0 else lft - 1 end, coalesce(stop, n), stop, card + 1 from (
@@ -581,7 +581,9 @@ union all select conv_id, idx, words, n, step, case when stop is null then 0 els
   from c where c.lft > 0))"""
 
 
-@query()
+@query(f"""with {_SPLIT}, d as (select c.*, lag(stop, 1, 0) over (partition by conv_id, idx order by card) as b from c where card > 0), bad as (select distinct conv_id, idx from d where stop is null)
+select d.conv_id, d.idx, (case when stop is null then 0 else card - 1 end)::int as card, case when stop is not null then array_to_string(words[b + 1 : stop], ' ') end as text, round(case when stop is null then 0.0 else step * b end, 3) as start_s,
+round(step * coalesce(stop, n), 3) as end_s, case when stop is null then 'E_VIDEO_CAPTIONS' end as error from d left join bad on bad.conv_id = d.conv_id and bad.idx = d.idx where stop is null or bad.idx is null""")
 def cards_partition(spark, sf_dir):
     """Each turn, spoken at three words a second, split into cards."""
     c = table(spark, sf_dir, "conversations").withColumn("w", timing.words_of(F.col("text")))

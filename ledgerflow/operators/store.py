@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -158,15 +159,20 @@ class Store:
         return self.spark.read.parquet(*[f"{self.path}/{name}/{n}" for n in parts[name]])
 
     def commit(self, tables: dict[str, DataFrame], append: bool = False) -> None:
-        """New parts of these tables: the only ones, or beside those there are."""
+        """New parts of these tables: the only ones, or beside those there are.
+
+        Parts have names of their own, so a writer that loses the race for the commit's number leaves the winner's as they are. The
+        rename that decides is one step on HDFS and local disks; object stores give no such promise.
+        """
         last, parts = self._parts()
-        number = last + 1
+        number, own = last + 1, uuid.uuid4().hex
         for name, df in tables.items():
-            df.write.mode("overwrite").parquet(f"{self.path}/{name}/{number}")
-            parts[name] = [*(parts.get(name, []) if append else []), number]
+            df.write.parquet(f"{self.path}/{name}/{own}")
+            parts[name] = [*(parts.get(name, []) if append else []), own]
         fs, path = self._fs()
-        self.spark.createDataFrame([(json.dumps(parts),)], "value string").coalesce(1).write.mode("overwrite").text(f"{self.path}/_staged")
-        part = next(s.getPath() for s in fs.listStatus(path(f"{self.path}/_staged")) if s.getPath().getName().startswith("part-"))
+        staged = f"{self.path}/_staged/{own}"
+        self.spark.createDataFrame([(json.dumps(parts),)], "value string").coalesce(1).write.text(staged)
+        part = next(s.getPath() for s in fs.listStatus(path(staged)) if s.getPath().getName().startswith("part-"))
         fs.mkdirs(path(f"{self.path}/_commits"))
         if not fs.rename(part, path(f"{self.path}/_commits/{number}")):
             raise StoreError("E_DB_WRITE", "another writer has committed")
@@ -185,8 +191,11 @@ class Store:
         return created, unchanged
 
     def save_packages(self, packages: DataFrame) -> int:
-        """Number of packages that are new; conflicts refuse the whole batch."""
+        """Number of packages that are new; conflicts, with stored ones or within the batch, refuse the whole batch."""
         existing = self.read("story_packages")
+        packages = packages.distinct()
+        if schemas.duplicates(packages, "story_id", "generator_name").limit(1).count():
+            raise StoreError("E_DB_SCHEMA", "two packages of the batch have one story and generator")
         if schemas.orphans(packages, "story_id", self.read("stories"), "id").limit(1).count():
             raise StoreError("E_STORY_NOT_FOUND", "a package's story is not stored")
         if schemas.violations(packages, "story_packages").where("violation is not null").limit(1).count() or package_conflicts(packages, existing).limit(1).count():

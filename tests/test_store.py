@@ -80,6 +80,26 @@ def test_packages(spark, opened):
     assert sinks.package_json(stored.first().payload_json).decode().startswith('{\n  "claims": [\n    {\n      "id": "claim_')
 
 
+def test_two_packages_of_one_story_in_a_batch_are_refused(spark, opened):
+    opened.harvest(snapshots(spark, "a"))
+    built = packages.mock_packages(opened.read("sources"), "2026-01-01T00:00:00Z")
+    with pytest.raises(store.StoreError):
+        opened.save_packages(built.union(built.withColumn("built_at", F.lit("later"))))
+    assert opened.read("story_packages").count() == 0 and opened.save_packages(built.union(built)) == 1
+
+
+def test_the_loser_of_two_writers_leaves_the_winner_alone(spark, opened, monkeypatch):
+    other = store.Store(spark, opened.path)
+    before = other._parts()
+    opened.commit({"stories": opened.read("stories"), "schema_meta": opened.read("schema_meta")})
+    won = opened._parts()
+    monkeypatch.setattr(other, "_parts", lambda: (before[0], {k: list(v) for k, v in before[1].items()}))
+    with pytest.raises(store.StoreError):
+        other.commit({"schema_meta": spark.createDataFrame([(1, 3)], schemas.META)})
+    assert opened._parts() == won
+    opened.check()
+
+
 def test_package_conflicts_of_a_provider(spark):
     row = ("pkg_" + "0" * 24, "story_" + "0" * 24, 2, "deepseek", "deepseek-v4-flash", "0" * 64, "{}", "now")
     old = spark.createDataFrame([row], schemas.PACKAGES)

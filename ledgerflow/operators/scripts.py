@@ -145,3 +145,16 @@ def script_errors(scripts: DataFrame) -> DataFrame:
         bad = ~F.coalesce(ok, F.lit(False))
         first = F.when(bad, F.lit(name)) if first is None else first.when(bad, F.lit(name))
     return scripts.select("package_id", first.alias("error"))
+
+
+#: What a script has from its package alone.
+DERIVED = ("script_title", "hook", "scenes", "spoken_text", "word_count")
+
+
+def derivation_errors(scripts: DataFrame) -> DataFrame:
+    """Scripts with their packages' columns -> (package_id, error): the first of DERIVED that composing the package again does
+    not give. A script is composed beside itself, so nothing is joined or shuffled.
+    """
+    kept = scripts.withColumn("kept", F.struct(*DERIVED)).drop(*DERIVED, "pads", "error_code")
+    differs = [F.when(~F.col(c).eqNullSafe(F.col("kept")[c]), F.lit(c)) for c in DERIVED]
+    return compose(kept).select("package_id", F.coalesce(*differs).alias("error"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -539,6 +539,37 @@ def script_validate(spark, sf_dir):
     return errors.select(F.col("package_id").alias("conv_id"), "error")
 
 
+#: What is changed in a script -> the rule that must find it.
+_CHANGES = {v: v for v in ("order", "hook", "spoken_text", "word_count", "language", "unique", "unknown", "told", "coverage", "qualification")} | {"on_screen_text": "scenes", "title": "script_title"}
+
+
+@query(f"with {_COMPOSE} select p.conv_id, c.variant, c.error from (select distinct conv_id from pads) p cross join (values {', '.join(f"('{v}', '{e}')" for v, e in _CHANGES.items())}) c(variant, error)")
+def script_changes_found(spark, sf_dir):
+    """Every composed script once for each rule of shape, coverage and derivation, with one change that this rule must find."""
+    s = scripts.compose(_packages(spark, sf_dir).where(F.exists("claims", lambda c: c["use_in_script"] & (c["status"] != "UNVERIFIED"))))
+    s = s.withColumn("variant", F.explode(F.array(*[F.lit(v) for v in _CHANGES]))).withColumn("package_id", F.struct("conv_id", "variant"))
+
+    def when(variant: str, changed: Column, column: Column) -> Column:
+        return F.when(F.col("variant") == variant, changed).otherwise(column)
+
+    def scene(x: Column, i: Column) -> Column:
+        first = lambda variant, changed, kept: F.when((F.col("variant") == variant) & (i == 0), changed).otherwise(kept)
+        ids, said = x["claim_ids"], when("language", F.regexp_replace(x["narration"], "[\\u0400-\\u04ff]", "x"), x["narration"])
+        ids = first("unique", F.concat(ids, ids), first("unknown", F.concat(ids, F.array(F.lit("claim_none"))), first("coverage", F.array().cast("array<string>"), ids)))
+        shown = first("on_screen_text", F.lit("x"), x["on_screen_text"])
+        return x.withField("order", first("order", F.lit(2), x["order"])).withField("narration", first("told", F.lit("Нет."), said)).withField("on_screen_text", shown).withField("claim_ids", ids)
+
+    s = s.withColumn("scenes", F.transform("scenes", scene))
+    s = s.withColumn("hook", when("hook", F.lit("x"), F.col("scenes")[0]["narration"]))
+    s = s.withColumn("spoken_text", F.array_join(F.transform("scenes", lambda x: x["narration"]), " "))
+    s = s.withColumn("word_count", when("word_count", F.lit(1), text.spoken_words(F.col("spoken_text")))).withColumn("spoken_text", when("spoken_text", F.lit("Нет."), F.col("spoken_text")))
+    s = s.withColumn("claims", F.transform("claims", lambda c: c.withField("qualification", when("qualification", F.lit("Never said"), c["qualification"]))))
+    s = s.withColumn("script_title", when("title", F.lit("x"), F.col("script_title")))
+    derived = F.col("variant").isin("on_screen_text", "title")
+    found = scripts.script_errors(s.where(~derived)).union(scripts.derivation_errors(s.where(derived)))
+    return found.select("package_id.conv_id", "package_id.variant", "error")
+
+
 _CUES = "cues as (select conv_id, turn, text, turn * 4000 + (conv_id % 3) * 100 as start_ms, turn * 4000 + 4200 + length(text) % 500 as end_ms from conversations)"
 
 

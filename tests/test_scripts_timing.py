@@ -51,6 +51,16 @@ def test_changed_script_is_found(spark):
     assert scripts.script_errors(s.withColumn("hook", F.lit("x"))).first().error == "hook"
 
 
+def test_script_is_derived_again(spark):
+    s = scripts.compose(package(spark, [(words(60), "VERIFIED", True)]))
+    error = lambda x: scripts.derivation_errors(x).first().error
+    assert error(s) is None
+    assert error(s.withColumn("script_title", F.lit(None).cast("string"))) == "script_title"
+    assert error(s.withColumn("scenes", F.transform("scenes", lambda x: x.withField("source_label", F.lit("x"))))) == "scenes"
+    assert error(s.withColumn("limitations", F.array(F.lit("Другое.")))) == "scenes"
+    assert scripts.derivation_errors(s.limit(0)).count() == 0
+
+
 def cues(spark, rows):
     return spark.createDataFrame([("s", i, a, b, t) for i, (a, b, t) in enumerate(rows)], "script_id string, idx int, start_ms long, end_ms long, text string")
 

@@ -60,52 +60,93 @@ def provider_identities(sources: DataFrame, prompt_sha256: str) -> DataFrame:
     return sources.select("id", identity.story_id(F.col("id")).alias("story_id"), fp.alias("input_fingerprint")).withColumn("package_id", identity.provider_package_id(F.col("input_fingerprint")))
 
 
-def _sized(name: str, most: int) -> Column:
-    return F.length(name).between(1, most)
+def strict_json(text: Column) -> Column:
+    """A JSON text as a variant, null if it is not one value and nothing else.
+
+    try_parse_json() stops after the first value. In brackets whatever follows it must be a comma or a closing bracket, as the
+    value of a key a comma or a closing brace: what is one value in both has nothing behind it. A key given twice makes it no
+    JSON, unless the session sets spark.sql.variant.allowDuplicateKeys, with which the last one counts.
+    """
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    named = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when(named.isNotNull() & (F.size(listed) == 1), F.get(listed, F.lit(0)))
+
+
+def kind(x: Column) -> Column:
+    """The kind of a variant: OBJECT, ARRAY, STRING, BOOLEAN, VOID, BIGINT, DECIMAL, DOUBLE; null if there is none."""
+    return F.regexp_extract(F.schema_of_variant(x), r"\A[A-Z]+", 0)
+
+
+def fields(x: Column) -> Column:
+    """An object's keys with their values; null for any other kind."""
+    return F.try_variant_get(x, "$", "map<string,variant>")
+
+
+def elements(x: Column) -> Column:
+    """An array's elements; null for any other kind."""
+    return F.when(kind(x) == "ARRAY", F.try_variant_get(x, "$", "array<variant>"))
+
+
+def text_of(x: Column) -> Column:
+    """The text of a variant that is one; a number or a boolean is none."""
+    return F.when(kind(x) == "STRING", F.try_variant_get(x, "$", "string"))
 
 
 def _keys(x: Column, names: list[str]) -> Column:
-    """Whether a JSON object has exactly these keys."""
-    return F.array_sort(F.json_object_keys(x)).eqNullSafe(F.array(*[F.lit(n) for n in sorted(names)]))
+    """Whether an object has exactly these keys."""
+    return F.array_sort(F.map_keys(fields(x))).eqNullSafe(F.array(*[F.lit(n) for n in sorted(names)]))
 
 
-def draft_errors(drafts: DataFrame, content: str = "content") -> DataFrame:
-    """The rows with `draft`, parsed, and `errors`: the rules that a provider's answer breaks, at most eight, in order."""
-    d = F.from_json(F.col(content), DRAFT)
-    rows = drafts.withColumn("draft", d)
-    f = lambda c: F.col(f"draft.{c}")
-    raw_claims = F.from_json(F.get_json_object(content, "$.claims"), "array<string>")
-    raw_refs = F.from_json(F.get_json_object(content, "$.source_references"), "array<string>")
-    strings = F.from_json(F.get_json_object(content, "$"), "map<string, string>")
-    text_kind = lambda name: F.get_json_object(content, f"$.{name}").isNotNull() & F.col(content).rlike(rf'"{name}"\s*:\s*"')
-    claim_ok = lambda c: (
-        c["claim_id"].rlike(r"\Aclaim_[a-z0-9_]{1,64}\z") & F.length(c["text"]).between(1, 2000) & c["status"].isin(*STATUSES) & c["confidence"].isin(*CONFIDENCES)
-        & c["use_in_script"].isNotNull() & F.length(c["qualification"]).between(1, 1000) & ~((c["status"] == "UNVERIFIED") & c["use_in_script"])
+def _claim_ok(c: Column) -> Column:
+    """A claim whose fields have the right kinds, lengths and values."""
+    t = lambda name: text_of(c[name])
+    used = F.when(kind(c["use_in_script"]) == "BOOLEAN", F.try_variant_get(c["use_in_script"], "$", "boolean"))
+    return (
+        t("claim_id").rlike(r"\Aclaim_[a-z0-9_]{1,64}\z") & F.length(t("text")).between(1, 2000) & t("status").isin(*STATUSES) & t("confidence").isin(*CONFIDENCES)
+        & used.isNotNull() & t("evidence_source_id").isNotNull() & F.length(t("qualification")).between(1, 1000) & ~((t("status") == "UNVERIFIED") & used)
     )
-    claims = f("claims")
-    rules = {
-        "object: keys": _keys(F.col(content), DRAFT_KEYS) & strings.isNotNull(),
-        **{f"{n}: string": text_kind(n) for n in ("story_id", "source_id", "working_title", "one_sentence_fact")},
-        "working_title: length": _sized("draft.working_title", 500),
-        "editorial_format: literal": f("editorial_format").isin(*FORMATS),
-        "one_sentence_fact: length": _sized("draft.one_sentence_fact", 2000),
-        "why_it_matters: length": _sized("draft.why_it_matters", 4000),
-        "editorial_angle: length": _sized("draft.editorial_angle", 4000),
+
+
+def draft_rules(answer: Column) -> dict[str, Column]:
+    """The rules of a provider's answer, a map of variants, by name and in order; true if the answer keeps them."""
+    f = lambda name: F.try_element_at(answer, F.lit(name))
+    t = lambda name: text_of(f(name))
+    sized = lambda name, most: F.length(t(name)).between(1, most)
+    texts = lambda name: F.size(elements(f(name))).between(1, 20) & F.forall(elements(f(name)), lambda x: kind(x) == "STRING")
+    claims, references = elements(f("claims")), elements(f("source_references"))
+    first = fields(F.get(references, F.lit(0)))
+    return {
+        "object: keys": F.array_sort(F.map_keys(answer)).eqNullSafe(F.array(*[F.lit(n) for n in sorted(DRAFT_KEYS)])),
+        **{f"{n}: string": t(n).isNotNull() for n in ("story_id", "source_id", "working_title", "one_sentence_fact")},
+        "working_title: length": sized("working_title", 500),
+        "editorial_format: literal": t("editorial_format").isin(*FORMATS),
+        "one_sentence_fact: length": sized("one_sentence_fact", 2000),
+        "why_it_matters: length": sized("why_it_matters", 4000),
+        "editorial_angle: length": sized("editorial_angle", 4000),
         "claims: size": F.size(claims).between(1, 20),
-        "claims: keys": F.forall(raw_claims, lambda c: _keys(c, CLAIM_KEYS)),
-        "claims: fields": F.forall(claims, claim_ok),
-        "claims: unique": F.size(F.array_distinct(F.transform(claims, lambda c: c["claim_id"]))) == F.size(claims),
-        "claims: evidence": F.forall(claims, lambda c: c["evidence_source_id"] == f("source_id")),
-        "limitations: size": F.size(f("limitations")).between(1, 20),
-        "limitations: required": F.array_contains(f("limitations"), LIMITATION),
-        "demonstration_plan: size": F.size(f("demonstration_plan")).between(1, 20),
-        "publication_verdict: literal": f("publication_verdict").isin(*VERDICTS),
-        "source_references: size": F.size(f("source_references")) == 1,
-        "source_references: keys": F.forall(raw_refs, lambda c: _keys(c, ["source_id", "canonical_url"])),
-        "source_references: source": F.element_at(f("source_references"), 1)["source_id"] == f("source_id"),
+        "claims: keys": F.forall(claims, lambda c: _keys(c, CLAIM_KEYS)),
+        "claims: fields": F.forall(F.transform(claims, fields), _claim_ok),
+        "claims: unique": F.size(F.array_distinct(F.transform(claims, lambda c: text_of(fields(c)["claim_id"])))) == F.size(claims),
+        "claims: evidence": F.forall(claims, lambda c: text_of(fields(c)["evidence_source_id"]) == t("source_id")),
+        "limitations: size": texts("limitations"),
+        "limitations: required": F.exists(elements(f("limitations")), lambda x: F.coalesce(text_of(x) == LIMITATION, F.lit(False))),
+        "demonstration_plan: size": texts("demonstration_plan"),
+        "publication_verdict: literal": t("publication_verdict").isin(*VERDICTS),
+        "source_references: size": F.size(references) == 1,
+        "source_references: keys": F.forall(references, lambda c: _keys(c, ["source_id", "canonical_url"])),
+        "source_references: source": text_of(first["source_id"]) == t("source_id"),
     }
-    broken = F.filter(F.array(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in rules.items()]), lambda x: x.isNotNull())
-    return rows.withColumn("errors", F.slice(broken, 1, 8))
+
+
+def draft_errors(drafts: DataFrame, content: str = "content") -> DataFrame:
+    """The rows with `draft`, parsed, and `errors`: the rules that a provider's answer breaks, at most eight, in order.
+
+    Kinds are those of the parsed values, so a number is no text wherever it stands. What is no JSON object breaks every rule.
+    """
+    parsed = drafts.withColumn("_answer", fields(strict_json(F.col(content))))
+    broken = [F.when(~F.coalesce(ok, F.lit(False)), F.lit(n)) for n, ok in draft_rules(F.col("_answer")).items()]
+    rows = parsed.withColumn("errors", F.slice(F.filter(F.array(*broken), lambda x: x.isNotNull()), 1, 8))
+    return rows.withColumn("draft", F.from_json(F.col(content), DRAFT)).drop("_answer")
 
 
 def provider_payloads(responses: DataFrame, sources: DataFrame, prompt_sha256: str) -> DataFrame:

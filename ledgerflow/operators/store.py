@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Callable
+from typing import NamedTuple, TypeVar
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -12,11 +15,19 @@ from pyspark.sql.window import Window
 from ledgerflow import schemas
 from ledgerflow.functions import identity
 
+T = TypeVar("T")
+
 #: Columns in which two snapshots of one identity must agree.
 IDENTITY = ("canonical_url", "title", "summary_text", "published_at", "published_at_raw", "content_hash", "source_name")
 PACKAGE_IDENTITY = ("package_id", "story_id", "schema_version", "generator_name", "generator_version", "input_fingerprint")
 
 
+#: How often a batch is checked again because another writer's commit came between its checks and its own.
+ATTEMPTS = 20
+#: Set on files that object stores write only if there is none of that name.
+CONDITIONAL = "fs.option.create.conditional.overwrite"
+
+
 class StoreError(Exception):
     """A rule of the store that a batch breaks."""
 
@@ -25,6 +36,20 @@ class StoreError(Exception):
         self.code = code
 
 
+class Overtaken(StoreError):
+    """Another commit changed a table that the refused one was checked against."""
+
+    def __init__(self) -> None:
+        super().__init__("E_DB_WRITE", "another writer has committed")
+
+
+class Snapshot(NamedTuple):
+    """One commit: its number and the parts of each table."""
+
+    number: int
+    parts: dict[str, list[str]]
+
+
 def differs(left: str, right: str, columns: tuple[str, ...]) -> Column:
     """Null-safe inequality in any of the columns."""
     out = F.lit(False)
@@ -114,8 +139,11 @@ def cardinality(packages: DataFrame, stories: DataFrame) -> DataFrame:
 
 class Store:
     """A folder with Parquet parts for each table. A commit adds parts, or replaces a table's, and then names the parts of all
-    tables in one small file that appears by a rename; readers see a commit whole or not at all, and old rows are not
-    written again.
+    tables in one small file; readers see a commit whole or not at all, and old rows are not written again.
+
+    Commits are serialisable. A batch is checked against one commit, and its own names that commit: if another came between
+    and changed a table that the checks read, nothing is committed and the batch is checked again on the newer one. Commits
+    that changed other tables only do not disturb it.
     """
 
     def __init__(self, spark: SparkSession, path: str) -> None:
@@ -126,82 +154,155 @@ class Store:
         target = jvm.org.apache.hadoop.fs.Path(self.path)
         return target.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
-    def _parts(self) -> tuple[int, dict[str, list[int]]]:
-        """The last commit's number, and the parts of each table."""
+    def snapshot(self) -> Snapshot:
+        """The newest commit; number 0 without tables if there is none."""
         fs, path = self._fs()
         folder = path(f"{self.path}/_commits")
         numbers = [int(n) for s in (fs.listStatus(folder) if fs.exists(folder) else []) if (n := s.getPath().getName()).isdigit()]
         if not numbers:
-            return 0, {}
-        return max(numbers), json.loads(self.spark.read.text(f"{self.path}/_commits/{max(numbers)}").first()[0])
+            return Snapshot(0, {})
+        return Snapshot(max(numbers), json.loads(self.spark.read.text(f"{self.path}/_commits/{max(numbers)}").first()[0]))
 
     def init(self) -> bool:
-        """Makes empty tables; false if they are there and as they should be."""
-        if self._parts()[1]:
-            self.check()
-            return False
-        self.commit({n: self.spark.createDataFrame([(1, schemas.SCHEMA_VERSION)] if n == "schema_meta" else [], s) for n, s in schemas.TABLES.items()})
-        return True
-
-    def check(self) -> None:
-        parts = self._parts()[1]
-        if not parts:
+        """Makes empty tables; false if they are there and as they should be. Of several that start at once one makes them."""
+        at = self.snapshot()
+        if not at.parts:
+            empty = {n: self.spark.createDataFrame([(1, schemas.SCHEMA_VERSION)] if n == "schema_meta" else [], s) for n, s in schemas.TABLES.items()}
+            try:
+                self.commit(empty, at=at, reads=tuple(empty))
+                return True
+            except Overtaken:
+                pass
+        self.check()
+        return False
+
+    def check(self, at: Snapshot | None = None) -> None:
+        at = at or self.snapshot()
+        if not at.parts:
             raise StoreError("E_DB_NOT_INITIALIZED", "the store is not initialised")
-        if set(parts) != set(schemas.TABLES) or any(not schemas.same_schema(self.read(n), n) for n in parts):
+        if set(at.parts) != set(schemas.TABLES) or any(not schemas.same_schema(self.read(n, at), n) for n in at.parts):
             raise StoreError("E_DB_SCHEMA", "the store's tables are not as they should be")
-        if [tuple(r) for r in self.read("schema_meta").limit(2).collect()] != [(1, schemas.SCHEMA_VERSION)]:
+        if [tuple(r) for r in self.read("schema_meta", at).limit(2).collect()] != [(1, schemas.SCHEMA_VERSION)]:
             raise StoreError("E_DB_SCHEMA", "the store has another version")
 
-    def read(self, name: str) -> DataFrame:
-        parts = self._parts()[1]
+    def read(self, name: str, at: Snapshot | None = None) -> DataFrame:
+        """A table as of a commit, or of the newest."""
+        parts = (at or self.snapshot()).parts
         if name not in parts:
             raise StoreError("E_DB_NOT_INITIALIZED", "the store is not initialised")
         return self.spark.read.parquet(*[f"{self.path}/{name}/{n}" for n in parts[name]])
 
-    def commit(self, tables: dict[str, DataFrame], append: bool = False) -> None:
-        """New parts of these tables: the only ones, or beside those there are.
+    def commit(self, tables: dict[str, DataFrame], append: bool = False, at: Snapshot | None = None, reads: tuple[str, ...] = ()) -> int:
+        """New parts of these tables: the only ones, or beside those there are. The number of the commit.
 
-        Parts have names of their own, so a writer that loses the race for the commit's number leaves the winner's as they are. The
-        rename that decides is one step on HDFS and local disks; object stores give no such promise.
+        at: the commit that the tables were checked against, and reads: the tables that the checks read. If a later commit has
+        changed one of these, the parts just written are deleted and Overtaken is raised. Without `at` nothing is checked.
         """
-        last, parts = self._parts()
-        number, own = last + 1, uuid.uuid4().hex
+        own = uuid.uuid4().hex
         for name, df in tables.items():
             df.write.parquet(f"{self.path}/{name}/{own}")
-            parts[name] = [*(parts.get(name, []) if append else []), own]
+        while True:
+            now = self.snapshot()
+            if at is not None and any(now.parts.get(t) != at.parts.get(t) for t in reads):
+                self._delete(*[f"{name}/{own}" for name in tables])
+                raise Overtaken
+            parts = now.parts | {name: [*(now.parts.get(name, []) if append else []), own] for name in tables}
+            if self._put_if_absent(f"_commits/{now.number + 1}", json.dumps(parts)):
+                return now.number + 1
+
+    def _delete(self, *names: str) -> None:
+        fs, path = self._fs()
+        for name in names:
+            fs.delete(path(f"{self.path}/{name}"), True)
+
+    def _put_if_absent(self, name: str, content: str) -> bool:
+        """Writes a small file whole, unless there is one of that name: false then.
+
+        Object stores that can do so write under a condition. Elsewhere the file is staged first: a local one gets its name by a
+        hard link, one on a file system such as HDFS by a rename that does not overwrite. Both are one step.
+        """
         fs, path = self._fs()
-        staged = f"{self.path}/_staged/{own}"
-        self.spark.createDataFrame([(json.dumps(parts),)], "value string").coalesce(1).write.text(staged)
-        part = next(s.getPath() for s in fs.listStatus(path(staged)) if s.getPath().getName().startswith("part-"))
-        fs.mkdirs(path(f"{self.path}/_commits"))
-        if not fs.rename(part, path(f"{self.path}/_commits/{number}")):
-            raise StoreError("E_DB_WRITE", "another writer has committed")
+        jvm, target = self.spark.sparkContext._jvm, path(f"{self.path}/{name}")
+        fs.mkdirs(target.getParent())
+        data = (content + "\n").encode()
+        if fs.hasPathCapability(target, CONDITIONAL):
+            try:
+                out = fs.createFile(target).overwrite(False).must(CONDITIONAL, True).recursive().build()
+                out.write(data)
+                out.close()
+                return True
+            except Py4JJavaError as e:
+                return _refused(e)
+        staged = path(f"{self.path}/_staged/{uuid.uuid4().hex}")
+        out = fs.create(staged)
+        out.write(data)
+        out.close()
+        try:
+            if fs.getUri().getScheme() == "file":
+                to_path = lambda p: jvm.java.nio.file.Path.of(p.toUri().getPath(), self.spark.sparkContext._gateway.new_array(jvm.java.lang.String, 0))
+                jvm.java.nio.file.Files.createLink(to_path(target), to_path(staged))
+            else:
+                none = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 0)
+                jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration()).rename(staged, target, none)
+            return True
+        except Py4JJavaError as e:
+            return _refused(e)
+        finally:
+            fs.delete(staged, False)
+
+    def _checked(self, batch: DataFrame, write: Callable[[DataFrame, Snapshot], T]) -> T:
+        """write(batch, commit), again on the newest commit as often as another writer was first. The batch is computed once."""
+        own = f"_staged/{uuid.uuid4().hex}"
+        batch.write.parquet(f"{self.path}/{own}")
+        try:
+            fixed = self.spark.read.schema(batch.schema).parquet(f"{self.path}/{own}")
+            for _ in range(ATTEMPTS):
+                try:
+                    return write(fixed, self.snapshot())
+                except Overtaken:
+                    continue
+            raise Overtaken
+        finally:
+            self._delete(own)
 
     def harvest(self, snapshots: DataFrame) -> tuple[int, int]:
-        """All of a batch or nothing: (created, unchanged)."""
-        self.check()
-        sources, stories = self.read("sources"), self.read("stories")
+        """All of a batch or nothing: (created, unchanged). Batches of writers at the same time give what they give one after the
+        other."""
+        return self._checked(snapshots, self._harvest)
+
+    def _harvest(self, snapshots: DataFrame, at: Snapshot) -> tuple[int, int]:
+        self.check(at)
+        sources, stories = self.read("sources", at), self.read("stories", at)
         for bad, what in ((invalid_identities(snapshots), "identity"), (conflicts(snapshots, sources), "conflict"), (story_conflicts(snapshots, sources, stories), "story")):
             if bad.limit(1).count():
                 raise StoreError("E_DB_SCHEMA", f"the batch is refused: {what}")
         created, unchanged = merge_counts(snapshots, sources).first()
         if created:
             new = new_rows(snapshots, sources).select(*sources.columns)
-            self.commit({"sources": new, "stories": stories_of(new)}, append=True)
+            self.commit({"sources": new, "stories": stories_of(new)}, True, at, ("schema_meta", "sources", "stories"))
         return created, unchanged
 
     def save_packages(self, packages: DataFrame) -> int:
         """Number of packages that are new; conflicts, with stored ones or within the batch, refuse the whole batch."""
-        existing = self.read("story_packages")
-        packages = packages.distinct()
+        return self._checked(packages.distinct(), self._save_packages)
+
+    def _save_packages(self, packages: DataFrame, at: Snapshot) -> int:
+        existing = self.read("story_packages", at)
         if schemas.duplicates(packages, "story_id", "generator_name").limit(1).count():
             raise StoreError("E_DB_SCHEMA", "two packages of the batch have one story and generator")
-        if schemas.orphans(packages, "story_id", self.read("stories"), "id").limit(1).count():
+        if schemas.orphans(packages, "story_id", self.read("stories", at), "id").limit(1).count():
             raise StoreError("E_STORY_NOT_FOUND", "a package's story is not stored")
         if schemas.violations(packages, "story_packages").where("violation is not null").limit(1).count() or package_conflicts(packages, existing).limit(1).count():
             raise StoreError("E_DB_SCHEMA", "a package conflicts with its inputs")
         new = packages.join(existing.select("story_id", "generator_name"), ["story_id", "generator_name"], "left_anti").select(*existing.columns)
         n = new.count()
         if n:
-            self.commit({"story_packages": new}, append=True)
+            self.commit({"story_packages": new}, True, at, ("stories", "story_packages"))
         return n
+
+
+def _refused(e: Py4JJavaError) -> bool:
+    """False if the error says that the file is there, or that another writer of it was first; else the error goes on."""
+    if any(x in str(e.java_exception.getClass().getName()) + str(e.java_exception) for x in ("FileAlreadyExists", "PreconditionFailed", "RemoteFileChanged")):
+        return False
+    raise e

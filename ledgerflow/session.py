@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,8 +12,9 @@ ROOT = str(Path(__file__).resolve().parent.parent)
 
 
 def session(master: str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
-    """A session in UTC with adaptive execution; master and partitions only if given, else the cluster's."""
-    builder = SparkSession.builder.appName("ledgerflow").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true")
+    """A session in UTC with adaptive execution, in which the last of equal JSON keys counts; master and partitions only if given,
+    else the cluster's."""
+    builder = SparkSession.builder.appName("ledgerflow").config("spark.sql.session.timeZone", "UTC").config("spark.sql.adaptive.enabled", "true").config("spark.sql.variant.allowDuplicateKeys", "true")
     if master:
         builder = builder.master(master).config("spark.ui.enabled", "false")
     if shuffle_partitions:
@@ -30,3 +32,32 @@ def ship(spark: SparkSession) -> None:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share: spark.checkpoint.dir. Only a local session may fall back to its own folder."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if found:
+        return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return "/tmp/checkpoints"
+
+
+def cuts_dir(spark: SparkSession) -> str:
+    """This application's own folder in the shared one."""
+    return f"{shared_dir(spark)}/cuts-{spark.sparkContext.applicationId}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a table written in the shared folder: ends the lineage, and survives lost executors."""
+    spark = df.sparkSession
+    path = f"{cuts_dir(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_cuts(spark: SparkSession) -> None:
+    """Deletes the tables that cut() has written for this application, when no result needs them any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(cuts_dir(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

@@ -1,4 +1,6 @@
 import json
+from concurrent.futures import ThreadPoolExecutor
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,16 +90,73 @@ def test_two_packages_of_one_story_in_a_batch_are_refused(spark, opened):
     assert opened.read("story_packages").count() == 0 and opened.save_packages(built.union(built)) == 1
 
 
-def test_the_loser_of_two_writers_leaves_the_winner_alone(spark, opened, monkeypatch):
-    other = store.Store(spark, opened.path)
-    before = other._parts()
-    opened.commit({"stories": opened.read("stories"), "schema_meta": opened.read("schema_meta")})
-    won = opened._parts()
-    monkeypatch.setattr(other, "_parts", lambda: (before[0], {k: list(v) for k, v in before[1].items()}))
-    with pytest.raises(store.StoreError):
-        other.commit({"schema_meta": spark.createDataFrame([(1, 3)], schemas.META)})
-    assert opened._parts() == won
-    opened.check()
+def test_two_writers_of_one_batch_leave_one_row(spark, opened, monkeypatch):
+    """The second is checked on the commit before the first's, and must be checked again."""
+    other, batch, first = store.Store(spark, opened.path), snapshots(spark, "a"), []
+    stale = other.snapshot()
+
+    def read():
+        first.append(1)
+        return stale if len(first) == 1 else store.Store(spark, opened.path).snapshot()
+
+    monkeypatch.setattr(other, "snapshot", read)
+    assert opened.harvest(batch) == (1, 0)
+    won = opened.snapshot()
+    assert other.harvest(batch) == (0, 1)
+    assert opened.read("sources").count() == 1 and opened.read("stories").count() == 1
+    assert opened.snapshot() == won and len(first) > 1
+
+
+def test_a_conflict_that_came_between_refuses_the_batch(spark, opened, monkeypatch):
+    """What another writer has stored meanwhile counts: the batch is refused as it would be after it."""
+    other, calls = store.Store(spark, opened.path), []
+    stale = other.snapshot()
+    monkeypatch.setattr(other, "snapshot", lambda: stale if not calls and not calls.append(1) else store.Store(spark, opened.path).snapshot())
+    opened.harvest(snapshots(spark, "a"))
+    with pytest.raises(store.StoreError) as e:
+        other.harvest(snapshots(spark, "a").withColumn("source_name", F.lit("other")))
+    assert e.value.code == "E_DB_SCHEMA" and opened.read("sources").count() == 1
+
+
+def test_harvests_in_threads_equal_one_after_the_other(spark, opened):
+    batches = [("a", "b", "c"), ("b", "c", "d"), ("c", "d", "e")]
+    with ThreadPoolExecutor(3) as pool:
+        counts = list(pool.map(lambda titles: store.Store(spark, opened.path).harvest(snapshots(spark, *titles)), batches))
+    assert sum(c for c, _ in counts) == 5 and sum(u for _, u in counts) == 4
+    assert sorted(r.title for r in opened.read("sources").collect()) == list("abcde")
+    assert store.list_stories(opened.read("stories"), opened.read("sources")).count() == opened.read("stories").count() == 5
+
+
+def test_commits_on_other_tables_do_not_disturb(spark, opened):
+    at = opened.snapshot()
+    opened.harvest(snapshots(spark, "a"))
+    meta = opened.read("schema_meta")
+    assert opened.commit({"schema_meta": meta}, at=at, reads=("schema_meta",)) == at.number + 2
+    parts = {p.name for p in Path(opened.path, "sources").iterdir()}
+    with pytest.raises(store.Overtaken):
+        opened.commit({"sources": opened.read("sources", at)}, at=at, reads=("sources",))
+    assert {p.name for p in Path(opened.path, "sources").iterdir()} == parts  # the loser leaves nothing
+    assert opened.read("sources").count() == 1 and not list(Path(opened.path, "_staged").glob("*"))
+
+
+def test_init_in_threads(spark, tmp_path):
+    path = str(tmp_path / "s")
+    with ThreadPoolExecutor(3) as pool:
+        made = list(pool.map(lambda _: store.Store(spark, path).init(), range(3)))
+    assert sorted(made) == [False, False, True]
+    store.Store(spark, path).check()
+
+
+@pytest.mark.parametrize("scheme", ["file", "viewfs"])
+def test_put_if_absent(spark, opened, monkeypatch, scheme):
+    """By a hard link, and by a rename that does not overwrite."""
+    if scheme == "viewfs":
+        spark.sparkContext._jsc.hadoopConfiguration().set("fs.viewfs.mounttable.put.link./in", f"file://{opened.path}")
+        one = store.Store(spark, "viewfs://put/in")
+    else:
+        one = opened
+    assert one._put_if_absent("_commits/900", "x") and not one._put_if_absent("_commits/900", "y")
+    assert Path(opened.path, "_commits/900").read_text() == "x\n"
 
 
 def test_package_conflicts_of_a_provider(spark):
@@ -157,6 +216,33 @@ def test_provider_answers(spark):
             assert got.repair_used == (name == "repaired") and got.draft.claims[0].text == "x"
 
 
+@pytest.mark.parametrize(
+    ("change", "rule"),
+    [
+        (lambda d: d.update(story_id=5), "story_id: string"), (lambda d: d.update(working_title=True), "working_title: string"), (lambda d: d.update(one_sentence_fact=None), "one_sentence_fact: string"), (lambda d: d.update(why_it_matters=7), "why_it_matters: length"),
+        (lambda d: d["claims"][0].update(use_in_script=1), "claims: fields"), (lambda d: d["claims"][0].update(text=2.5), "claims: fields"), (lambda d: d["claims"][0].update(evidence_source_id=None), "claims: fields"), (lambda d: d.update(claims={}), "claims: size"),
+        (lambda d: d.update(limitations=[*d["limitations"], 3]), "limitations: size"), (lambda d: d.update(demonstration_plan=[["p"]]), "demonstration_plan: size"), (lambda d: d["claims"].append({**d["claims"][0], "claim_id": "claim_\n"}), "claims: fields"),
+        (lambda d: d["source_references"][0].update(canonical_url=1, extra=2), "source_references: keys"), (lambda d: d.pop("claims"), "object: keys"),
+    ],
+)
+def test_kinds_of_values(spark, change, rule):
+    draft = json.loads(json.dumps(DRAFT))
+    change(draft)
+    got = packages.draft_errors(spark.createDataFrame([(json.dumps(draft),)], "content string")).first()
+    assert rule in got.errors
+
+
+def test_a_nested_name_does_not_stand_for_a_missing_one(spark):
+    draft = {**DRAFT, "story_id": 5, "x": {"story_id": "y"}}
+    assert packages.draft_errors(spark.createDataFrame([(json.dumps(draft),)], "content string")).first().errors[:2] == ["object: keys", "story_id: string"]
+
+
+def test_strict_json(spark):
+    texts = {"{}": True, " [1] ": True, '"x"': True, "1": True, "null": True, "": False, "{} x": False, "{}]": False, "{}}": False, "{},{}": False, "1 2": False, "{}],[1": False, '{"a":1}, "b":{}': False, "nope": False, '{"a":1,"a":2}': False}
+    got = spark.createDataFrame([(t,) for t in texts], "t string").select("t", packages.strict_json(F.col("t")).isNotNull()).collect()
+    assert {r[0]: r[1] for r in got} == texts
+
+
 def test_streaming_harvest(spark, tmp_path, opened):
     landing = tmp_path / "landing"
     landing.mkdir()

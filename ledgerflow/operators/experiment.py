@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.functions import text
+from ledgerflow.operators import statistics
 from ledgerflow.schemas import SCORES
 
 # Labels of outputs, their runs in order and the models of the runs.
@@ -43,14 +44,14 @@ def strict_bool(x: Column) -> Column:
 
 
 def correction_errors(rows: DataFrame) -> DataFrame:
-    """Correction rows (texts) with minutes as a decimal, accepted as a boolean, and `error`."""
+    """Correction rows (texts) with minutes as a decimal and as given (minutes_text), accepted as a boolean, and `error`."""
     minutes = F.expr("try_cast(minutes as decimal(38,18))")
     accepted, timer = strict_bool(F.col("accepted")), strict_bool(F.col("timer_complete"))
     noted = F.lit(False)
     for c in ("critical_fixes", "major_additions", "minor_edits", "notes"):
         noted = noted | (F.coalesce(F.trim(c), F.lit("")) != "")
     error = F.when(minutes.isNull() | ~minutes.between(0, 20), "minutes").when(accepted.isNull(), "accepted").when(~accepted & ~noted, "notes").when(~F.coalesce(timer, F.lit(False)), "timer_complete")
-    return rows.withColumn("error", error).withColumns({"minutes": minutes, "accepted": accepted})
+    return rows.withColumn("error", error).withColumns({"minutes": minutes, "minutes_text": F.trim("minutes"), "accepted": accepted})
 
 
 def leaks(x: Column, aliases: list[str]) -> Column:
@@ -96,10 +97,6 @@ def cost(tokens_in: Column, tokens_out: Column, rate_in: Column, rate_out: Colum
     return F.when(known, ((tokens_in * rate_in + tokens_out * rate_out) / F.lit(1_000_000)).cast("decimal(38,12)"))
 
 
-def range_text(x: str) -> Column:
-    return F.concat(F.min(x).cast("string"), F.lit("-"), F.max(x).cast("string"))
-
-
 def all_or_null(x: str, kind: str = "long") -> Column:
     """The sum, null if a value is null."""
     return F.when(F.bool_and(F.col(x).isNotNull()), F.sum(x)).cast(kind)
@@ -111,14 +108,20 @@ def joined_runs(mapping: DataFrame, scores: DataFrame, corrections: DataFrame, m
 
 
 def metrics(runs: DataFrame, by: str = "model_key") -> DataFrame:
-    """A row for each model."""
-    return runs.groupBy(by).agg(
-        F.count("*").alias("n"), F.median("total_score").alias("median_score"), range_text("total_score").alias("score_range"), F.sum("critical_error_count").alias("critical_error_total"),
-        F.count_if(F.col("critical_error_count") > 0).alias("outputs_with_critical_errors"), F.percentile("minutes", F.lit(0.5)).alias("median_correction_minutes"), range_text("minutes").alias("correction_range"),
-        F.count_if("accepted").alias("accepted_within_20"), F.median("latency_seconds").alias("median_latency_seconds"), range_text("latency_seconds").alias("latency_range"),
+    """A row for each model. Medians are exact; ranges, and median_correction_text, print the values as they were given: minutes
+    from minutes_text if the runs have it, in the order of output_id if they have that."""
+    minutes = "minutes_text" if "minutes_text" in runs.columns else "minutes"
+    summary = runs.groupBy(by).agg(
+        F.count("*").alias("n"), F.sum("critical_error_count").alias("critical_error_total"), F.count_if(F.col("critical_error_count") > 0).alias("outputs_with_critical_errors"), F.count_if("accepted").alias("accepted_within_20"),
         F.bool_and("cost_available").alias("direct_cost_available"), F.when(F.bool_and("cost_available"), F.sum("direct_cost_usd")).alias("direct_cost_total_usd"),
         all_or_null("input_tokens").alias("input_tokens_total"), all_or_null("output_tokens").alias("output_tokens_total"),
     )
+    joined = statistics.with_order_statistics(summary, runs, by, ["total_score", minutes, "latency_seconds"], "output_id" if "output_id" in runs.columns else None)
+    return joined.select(
+        by, "n", F.col("median_total_score").cast("double").alias("median_score"), F.col("range_total_score").alias("score_range"), "critical_error_total", "outputs_with_critical_errors",
+        F.col(f"median_{minutes}").alias("median_correction_minutes"), F.col(f"median_text_{minutes}").alias("median_correction_text"), F.col(f"range_{minutes}").alias("correction_range"), "accepted_within_20",
+        F.col("median_latency_seconds").cast("double").alias("median_latency_seconds"), F.col("range_latency_seconds").alias("latency_range"), "direct_cost_available", "direct_cost_total_usd", "input_tokens_total", "output_tokens_total",
+    )
 
 
 def verdict_case(score: Column, critical: Column, correction: Column, accepted: Column, first: str, second: str) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window
 
 from ledgerflow import schemas
 from ledgerflow.functions import identity, text, web
-from ledgerflow.operators import experiment, packages, scripts, store, timing
+from ledgerflow.operators import experiment, packages, scripts, statistics, store, timing
 from ledgerflow.session import table
 from ledgerflow.sources import feeds, sinks
 
@@ -323,6 +323,54 @@ def package_markdown(spark, sf_dir):
     return p.withColumn("p", F.from_json("payload_json", kind)).select("package_id", sinks.mock_markdown(F.col("p")).alias("markdown"))
 
 
+_BROKEN = {  # rule: the answers (doc_id % 24) that break it; 22 is no JSON, 23 breaks none
+    "object: keys": (0,), "story_id: string": (1,), "source_id: string": (2,), "working_title: string": (3,), "one_sentence_fact: string": (4,), "working_title: length": (3, 5), "editorial_format: literal": (6,),
+    "one_sentence_fact: length": (4, 7), "why_it_matters: length": (8,), "editorial_angle: length": (9,), "claims: size": (10,), "claims: keys": (11,), "claims: fields": (12,), "claims: unique": (13,), "claims: evidence": (2, 14),
+    "limitations: size": (15,), "limitations: required": (16,), "demonstration_plan: size": (17,), "publication_verdict: literal": (18,), "source_references: size": (19,), "source_references: keys": (20,), "source_references: source": (2, 21),
+}
+_LONG_FACT = " or (k not in (4, 7) and length(text) not between 1 and 2000)"
+_RULES = ", ".join(f"""case when k in {(*ks, 22)}{_LONG_FACT if name == "one_sentence_fact: length" else ""} then '{name}' end""" for name, ks in _BROKEN.items())
+
+
+@query(f"""with d as (select doc_id, text, doc_id % 24 as k from documents)
+select doc_id, array_to_string(list_filter([{_RULES}], lambda x: x is not null)[1:8], '; ') as errors from d""")
+def provider_answer_rules(spark, sf_dir):
+    """An answer for each document, of which every 24th breaks the same rule: numbers, booleans, nulls and objects for texts,
+    keys too many, repeated claims, something behind the answer."""
+    k = F.col("doc_id") % 24
+
+    def quoted(x: Column) -> Column:
+        listed = F.to_json(F.array(x))
+        return F.substring(listed, F.lit(2), F.length(listed) - 2)
+
+    def made(good: Column, **bad: str | Column) -> Column:
+        for n, value in bad.items():
+            good = F.when(k == int(n[1:]), F.lit(value) if isinstance(value, str) else value).otherwise(good)
+        return good
+
+    def obj(**values: Column) -> Column:
+        return F.concat(F.lit("{"), F.concat_ws(",", *[F.concat(F.lit(f'"{n}":'), v) for n, v in values.items()]), F.lit("}"))
+
+    def listed(*values: Column) -> Column:
+        return F.concat(F.lit("["), F.concat_ws(",", *values), F.lit("]"))
+
+    word = lambda x: quoted(F.lit(x))
+    own = quoted(F.concat(F.lit("src_"), "doc_id"))
+    claim = dict(claim_id=word("claim_1"), text=quoted(F.coalesce("source", F.lit("-"))), status=word("VERIFIED"), confidence=word("HIGH"), evidence_source_id=made(own, k14='"src_x"'), use_in_script=made(F.lit("true"), k12='"true"'), qualification=word("q"))
+    one, wide = obj(**claim), obj(**claim, note=F.lit('{"claim_id":"y"}'))
+    reference = dict(source_id=made(own, k21='"src_x"'), canonical_url=word("https://example.com/"))
+    limitation = word(packages.LIMITATION)
+    answer = dict(
+        story_id=made(quoted(F.concat(F.lit("story_"), "doc_id")), k1="5"), source_id=made(own, k2="true"), working_title=made(word('a "story_id": "title"'), k3="null", k5='""'), editorial_format=made(word("AI_SIGNAL"), k6='"AI_NOTE"'),
+        one_sentence_fact=made(quoted(F.col("text")), k4='{"one_sentence_fact":"x"}', k7='""'), why_it_matters=made(word("w"), k8="7"), editorial_angle=made(word("a"), k9='""'), claims=made(listed(one), k10="[]", k11=listed(wide), k13=listed(one, one)),
+        limitations=made(listed(limitation), k15=listed(limitation, F.lit("5")), k16='["other"]'), demonstration_plan=made(listed(word("p")), k17="{}"), publication_verdict=made(word("READY"), k18="false"),
+        source_references=made(listed(obj(**reference)), k19=listed(obj(**reference), obj(**reference)), k20=listed(obj(**reference, x=F.lit("1")))),
+    )
+    content = made(obj(**answer), k0=obj(**answer, x=F.lit('{"story_id":"y"}')), k22=F.concat(obj(**answer), F.lit(" x")))
+    rows = packages.draft_errors(table(spark, sf_dir, "documents").select("doc_id", content.alias("content")))
+    return rows.select("doc_id", F.array_join("errors", "; ").alias("errors"))
+
+
 # --- feeds -----------------------------------------------------------------------------------------------------------
 
 
@@ -379,10 +427,33 @@ def events_quality_checks(spark, sf_dir):
 count(*) filter (value > 10)::bigint as n_high, case when bool_and(value is not null) then sum(value::decimal(18,2)) end::double as value_total from events group by event_type""")
 def events_group_metrics(spark, sf_dir):
     e = table(spark, sf_dir, "events").withColumn("amount", F.col("value").cast("decimal(18,2)"))
-    return e.groupBy("event_type").agg(
-        F.count("*").alias("n"), F.median("user_id").alias("median_user"), experiment.range_text("user_id").alias("user_range"), F.sum("user_id").alias("user_total"), F.count_if(F.col("value") > 10).alias("n_high"),
-        experiment.all_or_null("amount", "double").alias("value_total"),
-    )
+    out = e.groupBy("event_type").agg(F.count("*").alias("n"), F.sum("user_id").alias("user_total"), F.count_if(F.col("value") > 10).alias("n_high"), experiment.all_or_null("amount", "double").alias("value_total"))
+    out = statistics.with_order_statistics(out, e, "event_type", ["user_id"])
+    return out.select("event_type", "n", F.col("median_user_id").cast("double").alias("median_user"), F.col("range_user_id").alias("user_range"), "user_total", "n_high", "value_total")
+
+
+# The mean of two decimals is printed with the digits of the more exact one, or one more.
+_DIGITS = "length(regexp_extract({}, '\\.([0-9]*)$', 1))"
+_PLAIN = "case when {0} then rtrim(rtrim({1}::varchar, '0'), '.') else {1}::varchar end"
+
+
+@query(f"""with v as (select case when l_orderkey % 10 = 0 then l_returnflag else 'most' end as k, l_extendedprice::decimal(18,2) as x, {_PLAIN.format("l_linenumber % 2 = 0", "l_extendedprice::decimal(18,2)")} as t,
+  l_orderkey * 10 + l_linenumber as o from lineitem),
+r as (select *, row_number() over (partition by k order by x, o) as i, count(*) over (partition by k) as n from v),
+m as (select k, n, min_by(t, i) as a, max_by(t, i) as b, min(x) as p, max(x) as q from r where i in ((n + 1) // 2, n // 2 + 1) group by k, n),
+h as (select *, ((p + q) * 500)::decimal(38,0)::bigint as thousandths, greatest({_DIGITS.format("a")}, {_DIGITS.format("b")}) as d from m),
+f as (select *, (thousandths // 1000)::varchar as whole, lpad((thousandths % 1000)::varchar, 3, '0') || '0' as rest from h),
+g as (select k, n, (p + q)::double / 2 as median, case when n % 2 = 1 then a when substr(rest, d + 1, 1) <> '0' then whole || '.' || substr(rest, 1, d + 1) when d = 0 then whole else whole || '.' || substr(rest, 1, d) end as median_text from f),
+u as (select k, x, min_by(t, o) as t from v group by k, x),
+e as (select k, min_by(t, x) || '-' || max_by(t, x) as range from u group by k)
+select k, n::bigint as n, median, median_text, range from g join e using (k)""")
+def analysis_exact_medians(spark, sf_dir):
+    """Medians and ranges of prices as decimals, some printed with trailing zeros; one group has nine tenths of all rows."""
+    price = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    shown = F.when(F.col("l_linenumber") % 2 == 0, F.regexp_replace(F.regexp_replace(price, "0+$", ""), r"\.$", "")).otherwise(price)
+    rows = table(spark, sf_dir, "lineitem").select(F.when(F.col("l_orderkey") % 10 == 0, F.col("l_returnflag")).otherwise("most").alias("k"), shown.alias("price"), F.lpad((F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("string"), 20, "0").alias("o"))
+    found = statistics.order_statistics(rows, "k", ["price"], "o")
+    return found.select("k", "n", F.col("median").cast("double").alias("median"), "median_text", F.concat("low_text", F.lit("-"), "high_text").alias("range"))
 
 
 @query("""select doc_id, quality + toxic as total_score, case when quality not between 0 and 1 then 'quality' when toxic not between 0 and 1 then 'toxic' when toxic > 0 and doc_id % 2 = 0 then 'critical_error_notes' when doc_id % 13 = 0 then 'review_complete' end as error from labels""")
@@ -407,17 +478,17 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels, d = table(spark, sf_dir, "labels"), table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     n = F.col("n_chars")
     return labels.join(d, "doc_id").select(
-        "doc_id", F.col("source").alias("model_key"), (F.col("quality") * 2 + F.col("toxic")).alias("total_score"), F.col("toxic").alias("critical_error_count"), ((n % 41).cast("decimal(10,1)") / 2).cast("decimal(10,1)").alias("minutes"),
+        "doc_id", F.col("source").alias("model_key"), (F.col("quality") * 2 + F.col("toxic")).alias("total_score"), F.col("toxic").alias("critical_error_count"), F.regexp_replace(((n % 41).cast("decimal(10,1)") / 2).cast("decimal(10,1)").cast("string"), r"\.0$", "").alias("minutes_text"),
         (F.col("quality") == 1).alias("accepted"), n.cast("double").alias("latency_seconds"), (n % 17 != 0).alias("cost_available"), (n.cast("decimal(18,6)") / 1_000_000).cast("decimal(18,6)").alias("direct_cost_usd"), F.when(n % 50 != 0, n).alias("input_tokens"), n.alias("output_tokens"),
     )
 
 
 @query(f"""with {_RUNS} select model_key, count(*)::bigint as n, median(total_score)::double as median_score, min(total_score)::varchar || '-' || max(total_score)::varchar as score_range, sum(critical_error_count)::bigint as critical_error_total,
-count(*) filter (critical_error_count > 0)::bigint as outputs_with_critical_errors, median(minutes::double) as median_correction_minutes, count(*) filter (accepted)::bigint as accepted_within_20, median(latency::double) as median_latency_seconds,
+count(*) filter (critical_error_count > 0)::bigint as outputs_with_critical_errors, median(minutes::double) as median_correction_minutes, rtrim(rtrim(min(minutes)::varchar, '0'), '.') || '-' || rtrim(rtrim(max(minutes)::varchar, '0'), '.') as correction_range, count(*) filter (accepted)::bigint as accepted_within_20, median(latency::double) as median_latency_seconds,
 bool_and(cost_available) as direct_cost_available, coalesce(case when bool_and(input_tokens is not null) then sum(input_tokens) end, -1)::bigint as input_tokens_total, sum(latency)::bigint as output_tokens_total from runs group by model_key""")
 def analysis_join_metrics(spark, sf_dir):
     m = experiment.metrics(_runs(spark, sf_dir))
-    return m.select("model_key", "n", "median_score", "score_range", "critical_error_total", "outputs_with_critical_errors", "median_correction_minutes", "accepted_within_20", "median_latency_seconds", "direct_cost_available", F.coalesce("input_tokens_total", F.lit(-1)).alias("input_tokens_total"), "output_tokens_total")
+    return m.select("model_key", "n", "median_score", "score_range", "critical_error_total", "outputs_with_critical_errors", F.col("median_correction_minutes").cast("double").alias("median_correction_minutes"), "correction_range", "accepted_within_20", "median_latency_seconds", "direct_cost_available", F.coalesce("input_tokens_total", F.lit(-1)).alias("input_tokens_total"), "output_tokens_total")
 
 
 @query("""with d as (select a.doc_id as a, b.doc_id as b, (a.quality - b.quality) * 2 as score, (a.toxic - b.toxic) * 2 as critical, (a.doc_id % 21 - b.doc_id % 21) as correction, (a.quality - b.quality) * 3 as accepted from labels a join labels b on b.doc_id = a.doc_id + 1)

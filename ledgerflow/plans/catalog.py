@@ -6,6 +6,7 @@ conversations for ordered claims, scenes and subtitle cues.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -15,8 +16,9 @@ from pyspark.sql.window import Window
 from ledgerflow import schemas
 from ledgerflow.functions import identity, text, web
 from ledgerflow.operators import experiment, packages, scripts, statistics, store, timing
-from ledgerflow.session import table
+from ledgerflow.session import cuts_dir, table
 from ledgerflow.sources import feeds, sinks
+from ledgerflow.sources.feed_source import FeedSource
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -415,6 +417,31 @@ def feed_rejections(spark, sf_dir):
     return feeds.snapshots(raw, "")[1].select("path", "error_code")
 
 
+_XML = "replace(replace(replace(text, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_FEED_ITEM = f"""'<item><title>Report ' || doc_id || '</title><link>https://example.com/' || doc_id || '</link><description>' || {_XML} || '</description></item>'"""
+
+
+@query(f"""with d as (select coalesce(source, '') || '-' || coalesce(lang, '') || '-' || (doc_id // 2000) as feed, doc_id, coalesce(text, '') as text from documents),
+i as (select feed, doc_id, text, strlen({_FEED_ITEM}) as size from d),
+n as (select *, row_number() over (partition by feed order by doc_id) - 1 as position, count(*) over (partition by feed) as items, sum(size) over (partition by feed) + {len("<rss><channel></channel></rss>") + 1} as bytes from i)
+select feed, position::integer as position, 'Report ' || doc_id as title, text as summary, null::varchar as error from n where bytes <= {feeds.MAX_BYTES} and items <= {feeds.MAX_ITEMS}
+union all select distinct feed, 0, null, null, case when bytes > {feeds.MAX_BYTES} then 'size' else 'items' end from n where bytes > {feeds.MAX_BYTES} or items > {feeds.MAX_ITEMS}""")
+def feed_source_items(spark, sf_dir):
+    """Documents written as feed files, and their items read back by the data source."""
+    feed = F.concat(F.coalesce("source", F.lit("")), F.lit("-"), F.coalesce("lang", F.lit("")), F.lit("-"), F.floor(F.col("doc_id") / 2000))
+    escaped = F.coalesce("text", F.lit(""))
+    for raw, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+        escaped = F.replace(escaped, F.lit(raw), F.lit(name))
+    item = F.concat(F.lit("<item><title>Report "), "doc_id", F.lit("</title><link>https://example.com/"), "doc_id", F.lit("</link><description>"), escaped, F.lit("</description></item>"))
+    items = F.array_sort(F.collect_list(F.struct("doc_id", "item")))
+    xml = F.concat(F.lit("<rss><channel>"), F.array_join(F.transform(items, lambda x: x["item"]), ""), F.lit("</channel></rss>"))
+    landing = f"{cuts_dir(spark)}/feeds-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "documents").select(feed.alias("feed"), "doc_id", item.alias("item")).groupBy("feed").agg(xml.alias("value")).write.partitionBy("feed").text(landing)
+    spark.dataSource.register(FeedSource)
+    rows = spark.read.format("feed").load(landing)
+    return rows.select(F.regexp_extract("path", "feed=([^/]*)/", 1).alias("feed"), "position", "title", "summary", "error")
+
+
 # --- experiment ------------------------------------------------------------------------------------------------------
 
 

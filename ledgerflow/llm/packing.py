@@ -24,8 +24,9 @@ END = 1
 ROWS_A_CELL = 10_000
 #: More (length, cell) pairs than this are not broadcast.
 MOST_BROADCAST_CELLS = 1_000_000
-#: The fast encoder's regular expression engine runs out of stack on some hundred thousand blanks in a row.
-_BLANKS, MOST_BLANKS = re.compile(r"\s{10000}"), 10_000
+#: The fast encoder takes time by the square of a run of blanks, and stack by its length; runs from here on go to tokenizers.
+MOST_BLANKS = 200
+_BLANKS = re.compile(rf"\s{{{MOST_BLANKS}}}")
 
 
 def default_tokenizer() -> str:
@@ -39,7 +40,7 @@ def encoder(path: str):
     """text -> ids, as tokenizers gives them for the file with add_special_tokens=False.
 
     The file's vocabulary is loaded into tiktoken, which gives the same ids several times as fast; texts that hold a
-    special token's string or a very long run of blanks go to tokenizers itself.
+    special token's string or a long run of blanks go to tokenizers itself.
     """
     import tiktoken
     from tokenizers import Tokenizer

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators import packages, scripts, store
 from ledgerflow.session import session, ship
-from ledgerflow.sources import feeds, sinks
+from ledgerflow.sources import export_sink, feeds, sinks
 from ledgerflow.sources.files import Refused
 
 
@@ -56,6 +56,7 @@ def parser() -> argparse.ArgumentParser:
     command(verbs["stories"], "list")
     command(verbs["package"], "build", story=story)
     command(verbs["package"], "export", story=story, out=path, generator={}, format={"choices": ("json", "markdown", "all"), "default": "all"}, force={"action": "store_true"})
+    command(verbs["package"], "export-all", out=path, force={"action": "store_true"})
     command(verbs["script"], "build", story=story, out=path)
     return p
 
@@ -72,6 +73,9 @@ def run(args: argparse.Namespace, spark) -> list[str]:
     if args.group == "stories":
         return [f"{r.id}\t{r.title}" for r in store.list_stories(db.read("stories"), db.read("sources")).toLocalIterator()]
     sources, stories, stored = db.read("sources"), db.read("stories"), db.read("story_packages")
+    if what == ("package", "export-all"):
+        written, unchanged = export_sink.export(export_sink.package_groups(stored), args.out, args.force)
+        return [f"written: {written}", f"unchanged: {unchanged}"]
     own = stories.where(F.col("id") == args.story)
     own_source = sources.join(own.select(F.col("primary_source_id").alias("id")), "id", "left_semi")
     if what == ("package", "build"):

@@ -17,7 +17,7 @@ from ledgerflow import schemas
 from ledgerflow.functions import identity, text, web
 from ledgerflow.operators import experiment, packages, scripts, statistics, store, timing
 from ledgerflow.session import cuts_dir, table
-from ledgerflow.sources import feeds, sinks
+from ledgerflow.sources import export_sink, feeds, sinks
 from ledgerflow.sources.feed_source import FeedSource
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -325,6 +325,39 @@ def package_markdown(spark, sf_dir):
     return p.withColumn("p", F.from_json("payload_json", kind)).select("package_id", sinks.mock_markdown(F.col("p")).alias("markdown"))
 
 
+def _pretty_sql() -> str:
+    """The package's JSON with sorted keys and two blanks a level, and a line feed; none of its values needs an escape."""
+    q = lambda x: f"'\"' || {x} || '\"'"
+    claim = {"id": q("claim_id"), "qualifier": q(f"'{packages.QUALIFIER}'"), "source_ids": [q("id")], "status": q("'UNVERIFIED'"), "text": q("claim_text"), "type": q("'VENDOR_CLAIM'")}
+    source = {"canonical_url": q("canonical_url"), "content_hash": q("content_hash"), "id": q("id"), "published_at": "'null'", "published_at_raw": f"coalesce({q('published_at_raw')}, 'null')", "title": q("title")}
+    value = {
+        "claims": [claim], "generation_mode": q("'MOCK'"), "generator": {"name": q("'mock'"), "version": q("'mock-v1'")}, "input_fingerprint": q("fp"), "mock_notice": q(f"'{packages.NOTICE}'"), "package_id": q("package_id"), "publishable": "'false'",
+        "schema_version": "'1'", "sources": [source], "story": {"id": q("story_id"), "title": q("title")},
+    }
+
+    def shown(x: object, deep: int) -> str:
+        pad, end = " " * 2 * (deep + 1), " " * 2 * deep
+        if isinstance(x, str):
+            return x
+        parts = [f"'{pad}\"{k}\": ' || {shown(v, deep + 1)}" for k, v in x.items()] if isinstance(x, dict) else [f"'{pad}' || {shown(v, deep + 1)}" for v in x]
+        left, right = "{}" if isinstance(x, dict) else "[]"
+        return f"'{left}' || chr(10) || " + " || ',' || chr(10) || ".join(parts) + f" || chr(10) || '{end}{right}'"
+
+    return shown(value, 0) + " || chr(10)"
+
+
+@query(f"""with {_CHAIN}, one as (select * from (select *, row_number() over (partition by id order by position) as r from packaged) where r = 1), p as (select package_id, {_pretty_sql()} as json from one),
+f as (select package_id || '.json' as name, json as content from p union all select package_id || '.md', markdown from ({ORACLES["package_markdown"]}))
+select name, strlen(content)::bigint as length, sha256(content) as sha256 from f""")
+def package_exports(spark, sf_dir):
+    """All packages exported as pairs of files, all at once, and the files that are there then."""
+    p = packages.mock_packages(store.first_wins(_snapshots(spark, sf_dir)))
+    out = f"{cuts_dir(spark)}/exports-{uuid.uuid4().hex}"
+    export_sink.export(export_sink.package_groups(p), out)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "pkg_*").load(out)
+    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+
+
 _BROKEN = {  # rule: the answers (doc_id % 24) that break it; 22 is no JSON, 23 breaks none
     "object: keys": (0,), "story_id: string": (1,), "source_id: string": (2,), "working_title: string": (3,), "one_sentence_fact: string": (4,), "working_title: length": (3, 5), "editorial_format: literal": (6,),
     "one_sentence_fact: length": (4, 7), "why_it_matters: length": (8,), "editorial_angle: length": (9,), "claims: size": (10,), "claims: keys": (11,), "claims: fields": (12,), "claims: unique": (13,), "claims: evidence": (2, 14),

@@ -17,7 +17,7 @@ SPACE = r"[\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u30
 BLANKS = "\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 CONTROLS = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]"
 WORD = r"[0-9A-Za-z\u0400-\u04ff]+(?:[-\u2019'][0-9A-Za-z\u0400-\u04ff]+)*"
-NAMED = r"model|модель|run[ _-]?id"  # labels of lines that name a model or run
+NAMED_LINE = r"^\s*(?:model|модель|run[ _-]?id)\s*:"  # lines that name a model or run
 MARKDOWN = r"([\\`*_{}\[\]<>()#+\-.!|])"
 
 
@@ -114,8 +114,7 @@ def terminal_safe(x: Column) -> Column:
 def without_identity_lines(x: Column) -> tuple[Column, Column]:
     """The text without lines that name a model or run, ending in one LF; and how many lines went."""
     lines = F.split(newlines(x), "\n")
-    named = rf"(?iU)^\s*(?:{NAMED})\s*:"
-    kept = F.filter(lines, lambda v: ~v.rlike(named))
+    kept = F.filter(lines, lambda v: ~v.rlike(f"(?iU){NAMED_LINE}"))
     return F.concat(F.regexp_replace(F.array_join(kept, "\n"), rf"{SPACE}+\z", ""), F.lit("\n")), F.size(lines) - F.size(kept)
 
 

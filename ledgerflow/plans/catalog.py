@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ledgerflow import schemas
-from ledgerflow.functions import identity, text, web
-from ledgerflow.operators import experiment, packages, scripts, statistics, store, timing
+from ledgerflow.functions import identity, redaction, text, web
+from ledgerflow.operators import blinding, digests, experiment, ledger, packages, scripts, statistics, store, timing
 from ledgerflow.session import cuts_dir, table
 from ledgerflow.sources import export_sink, feeds, sinks
 from ledgerflow.sources.feed_source import FeedSource
@@ -597,6 +597,116 @@ def status_next_action(spark, sf_dir):
     return s.select("conv_id", "pending", action.alias("next_action"))
 
 
+# --- ledgers, digests, blinding ---------------------------------------------------------------------------------------
+
+_LOG = """log as (select user_id as x, event_id as seq, case when event_type in (select min(event_type) from events) then 'invalidated' else 'completed' end as kind, (event_id % 8)::integer as p, case when event_id % 5 = 0 then '  ' else ' broke ' end as reason,
+ sha256(event_id::varchar) as output_sha256, row_number() over (partition by user_id order by event_id) as n from events),
+r as (select distinct x, 0::bigint as n, 0 as done, 0 as op, false as rep, null::bigint as seq, null::varchar as error from log
+ union all select x, n, case when error is null and kind = 'completed' and op = 0 then done + 1 else done end, case when error is not null then op when kind = 'completed' then 0 else p end, rep or (error is null and kind = 'invalidated'), seq, error
+ from (select log.x, log.n, r.done, r.op, r.rep, log.seq, log.kind, log.p, case when log.p not between 1 and 6 then 'PATH_UNSAFE' when log.kind = 'completed' then case when log.p <> case when r.op > 0 then r.op else r.done + 1 end then 'RUN_ORDER_VIOLATION' end
+   when trim(log.reason) = '' then 'HUMAN_INPUT_INVALID' when r.rep then 'MORE_THAN_ONE_INVALID_REPLACEMENT' when log.p > r.done or log.p = r.op then 'RUN_NOT_COMPLETE' end as error from r join log on log.x = r.x and log.n = r.n + 1))"""
+
+
+def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as a log of completed and invalidated runs, an experiment for each user."""
+    e = table(spark, sf_dir, "events")
+    first = e.agg(F.min("event_type")).first()[0]
+    return e.select(
+        F.col("user_id").alias("experiment"), F.col("event_id").alias("seq"), F.when(F.col("event_type") == first, ledger.INVALIDATED).otherwise(ledger.COMPLETED).alias("kind"), (F.col("event_id") % 8).cast("int").alias("position"),
+        F.when(F.col("event_id") % 5 == 0, "  ").otherwise(" broke ").alias("reason"), F.sha2(F.col("event_id").cast("string"), 256).alias("output_sha256"),
+    )
+
+
+@query(f"""with recursive {_LOG} select x::varchar as experiment, seq, error is null as accepted, error as error_code, done - (op > 0)::integer as completed, case when op > 0 then op when done < 6 then done + 1 else 0 end as pending, rep as replaced from r where n > 0""")
+def run_ledger_states(spark, sf_dir):
+    """What every event of the log did, and the state after it."""
+    return ledger.replay(_log(spark, sf_dir)).withColumn("pending", F.coalesce("pending", F.lit(0)))
+
+
+@query(f"""with recursive {_LOG}, good as (select log.* from log join r on r.x = log.x and r.seq = log.seq where r.error is null),
+i as (select * from good where kind = 'invalidated')
+select i.x::varchar as experiment, i.p as position, i.seq as invalidated_seq, trim(i.reason) as reason, max(d.seq) filter (d.seq < i.seq) as completed_seq, max(d.output_sha256) filter (d.seq < i.seq) as output_sha256, coalesce(min(d.seq) filter (d.seq > i.seq), -1) as replaced_seq
+from i left join good d on d.x = i.x and d.p = i.p and d.kind = 'completed' group by 1, 2, 3, 4""")
+def run_ledger_archive(spark, sf_dir):
+    """The runs that were declared invalid, and those in their place."""
+    return ledger.archive(_log(spark, sf_dir)).withColumn("replaced_seq", F.coalesce("replaced_seq", F.lit(-1)))
+
+
+@query(f"""with recursive {_LOG}, m as (select x, (seq // 3) * 3 as moment from log group by 1, 2), s as (select m.x, m.moment, max(r.n) as n from m join r on r.x = m.x and (r.seq <= m.moment or r.n = 0) group by 1, 2)
+select x::varchar as experiment, moment as seq, done - (op > 0)::integer as completed, case when op > 0 then op when done < 6 then done + 1 else 0 end as pending, rep as replaced from s join r using (x, n)""")
+def run_ledger_as_of(spark, sf_dir):
+    """The state as of moments that mostly are no event's own."""
+    log = _log(spark, sf_dir)
+    return ledger.as_of(log, log.select("experiment", (F.floor(F.col("seq") / 3) * 3).alias("seq"))).withColumn("pending", F.coalesce("pending", F.lit(0)))
+
+
+_TREE = """leaf as (select s || '/' || l || '/' || doc_id || '.txt' as path, doc_id || '.txt' as name, s, l, sha256(t) as digest from (select doc_id, coalesce(source, 'none') as s, coalesce(lang, 'none') as l, coalesce(text, '') as t from documents)),
+a1 as (select s, l, substr(sha256(name), 1, 3) as g, sha256(string_agg(name || chr(0) || 'file' || chr(0) || digest, chr(10) order by name || chr(0) || 'file' || chr(0) || digest)) as d, count(*) as n from leaf group by all),
+a2 as (select s, l, sha256(string_agg(g || ' ' || d, chr(10) order by g)) as d, sum(n) as n from a1 group by s, l),
+b1 as (select s, substr(sha256(l), 1, 3) as g, sha256(string_agg(l || chr(0) || 'folder' || chr(0) || d, chr(10) order by l)) as d, sum(n) as n from a2 group by all),
+b2 as (select s, sha256(string_agg(g || ' ' || d, chr(10) order by g)) as d, sum(n) as n from b1 group by s),
+c1 as (select substr(sha256(s), 1, 3) as g, sha256(string_agg(s || chr(0) || 'folder' || chr(0) || d, chr(10) order by s)) as d, sum(n) as n from b2 group by all),
+c2 as (select sha256(string_agg(g || ' ' || d, chr(10) order by g)) as d, sum(n) as n from c1)"""
+
+
+def _as_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files in folders by source and language."""
+    d = table(spark, sf_dir, "documents")
+    return d.select("doc_id", F.concat(F.coalesce("source", F.lit("none")), F.lit("/"), F.coalesce("lang", F.lit("none")), F.lit("/"), "doc_id", F.lit(".txt")).alias("path"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha256"))
+
+
+@query(f"""with {_TREE} select path, 3 as depth, 'file' as kind, digest, 1::bigint as files from leaf union all select s || '/' || l, 2, 'folder', d, n::bigint from a2 union all select s, 1, 'folder', d, n::bigint from b2 union all select '', 0, 'folder', d, n::bigint from c2 where d is not null""")
+def digest_tree(spark, sf_dir):
+    return digests.tree(_as_files(spark, sf_dir))
+
+
+@query("""with leaf as (select doc_id, coalesce(source, 'none') as s, coalesce(lang, 'none') as l, doc_id % 211 = 0 as changed, doc_id % 223 = 0 as gone, doc_id % 227 = 0 as new from documents),
+state as (select *, case when gone and new then null when gone then 'missing' when new then 'extra' when changed then 'changed' end as st, case when not new then s || '/' || l end as old, case when not gone then s || '/' || l end as cur from leaf),
+dirs as (select s, s || '/' || l as d, bool_or(not new) as had, bool_or(not gone) as has, bool_or(st is not null) as touched from state group by all),
+tops as (select s, bool_or(had) as had, bool_or(has) as has, bool_or(touched) as touched from dirs group by s)
+select s || '/' || l || '/' || doc_id || '.txt' as path, 3 as depth, 'file' as kind, st as state from state join tops using (s) where st is not null
+and exists (select 1 from dirs where dirs.d = s || '/' || l and dirs.touched)
+union all select d, 2, 'folder', case when not has then 'missing' when not had then 'extra' else 'changed' end from dirs where touched and (had or has)
+union all select s, 1, 'folder', case when not has then 'missing' when not had then 'extra' else 'changed' end from tops where touched and (had or has)
+union all select '', 0, 'folder', 'changed' where exists (select 1 from tops where touched)""")
+def digest_differences(spark, sf_dir):
+    """Files that were changed, lost or added, and the folders that lead to them."""
+    files = _as_files(spark, sf_dir)
+    expected = digests.tree(files.where("doc_id % 227 <> 0"))
+    changed = F.when(F.col("doc_id") % 211 == 0, F.reverse("sha256")).otherwise(F.col("sha256"))
+    return digests.differences(expected, digests.tree(files.where("doc_id % 223 <> 0").withColumn("sha256", changed)))
+
+
+@query()
+def blind_orders(spark, sf_dir):
+    """The seeded order of six runs for each customer. SQL has no such generator."""
+    return blinding.blind_orders(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("experiment"), F.concat("c_name", F.lit("/"), "c_mktsegment").alias("seed")))
+
+
+@query()
+def blind_artifacts(spark, sf_dir):
+    """Every six documents are the runs of an experiment: its blind files, their lengths and hashes, or why it has none."""
+    d = table(spark, sf_dir, "documents")
+    outputs = d.select(F.floor(F.col("doc_id") / 6).alias("experiment"), F.concat(F.lit("run_0"), F.col("doc_id") % 6 + 1).alias("run_id"), "text")
+    models = spark.range(1, 7).select(F.concat(F.lit("run_0"), "id").alias("run_id"), F.when(F.col("id") % 2 == 0, "sol").otherwise("terra").alias("model_key"), F.when(F.col("id") % 2 == 0, _IDENTITIES[0]).otherwise(_IDENTITIES[1]).alias("model_id"))
+    out = blinding.artifacts(outputs.select("experiment", F.col("experiment").alias("seed")).distinct(), outputs, models, _IDENTITIES, _ALIASES)
+    return out.select("experiment", "error_code", F.explode_outer("files").alias("f")).select("experiment", "error_code", F.col("f.name").alias("name"), F.octet_length("f.content").alias("length"), F.sha2("f.content", 256).alias("sha256"))
+
+
+_SYLLABLES = "an ar as at ea ed en er es ha he in is it nd ng nt on or re st th ti".split()
+
+
+@query(rf"""with s as (select unnest({_SYLLABLES}) as x), names as (select a.x || b.x || c.x as name from s a, s b, s c),
+t as (select row_number() over () as r, conv_id, turn, regexp_extract_all(text, '[\p{{L}}\p{{N}}_]+|[^\p{{L}}\p{{N}}_]+') as parts from conversations),
+p as (select r, conv_id, turn, unnest(parts) as part, unnest(range(len(parts))) as i from t)
+select conv_id, turn, string_agg(case when name is null then part else '[MODEL]' end, '' order by i) as text, count(name) as removed from p left join names on lower(part) = name group by r, conv_id, turn""")
+def redact_many_words(spark, sf_dir):
+    """More than 12,000 names, all combinations of three syllables, taken out of all conversations as whole words in one pass."""
+    names = [a + b + c for a in _SYLLABLES for b in _SYLLABLES for c in _SYLLABLES]
+    done = redaction.redact_many(F.col("text"), [], names)
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", done.alias("r")).select("conv_id", "turn", "r.text", "r.removed")
+
+
 # --- scripts and timing ----------------------------------------------------------------------------------------------
 
 _CLAIMS = """c0 as (select conv_id, turn, 'claim_' || turn as claim_id, text, case when turn % 5 = 4 then 'UNVERIFIED' when role = 'assistant' then 'VENDOR_CLAIM' when turn % 3 = 2 then 'VERIFIED' else 'OPINION' end as status, turn % 7 <> 6 and turn % 5 <> 4 as used, 'Said in turn ' || turn as qualification from conversations),

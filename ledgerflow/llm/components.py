@@ -5,16 +5,23 @@ that differs from round to round, and is renamed to what that one points to: two
 one component and every component stays connected, so edges between names are the next round's graph, and names without an
 edge are done. A vertex remains a name only if it is the least for some vertex near it, so their number falls by a constant
 factor a round in expectation, whatever the graph looks like and however its ids are dealt: a path of n vertices keeps
-about two fifths. Rounds are logarithmic, and all of them together read about as much as a few passes over the first one.
+about two fifths. Rounds are logarithmic, and all of them together read about as much as a few passes over the first one. What
+is left when a round's graph has at most FEW edges, which is counted, is joined up by one task instead of more rounds.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerflow.llm.common import cut
 
+#: So many edges at most go to one task.
+FEW = 50_000
+
 
 def contract(edges: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
     """One round over edges (a, b), a < b, distinct: (node, name) of all vertices, and the edges between different names."""
@@ -28,6 +35,24 @@ def contract(edges: DataFrame, number: int) -> tuple[DataFrame, DataFrame]:
     return names, cut(two.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
 
 
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Edges (a, b) of one small graph -> (node, name) with one name for each component."""
+    name: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while name.setdefault(x, x) != x:
+            name[x] = name[name[x]]
+            x = name[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            x, y = find(a), find(b)
+            name[max(x, y)] = min(x, y)
+    nodes = list(name)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([find(x) for x in nodes], pa.int64())], names=["node", "name"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) long edges -> (node, root): root is the smallest node reachable. Vertices without an edge do not appear.
 
@@ -36,7 +61,10 @@ def components(edges: DataFrame) -> DataFrame:
     """
     given = cut(edges.where("a is not null and b is not null").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
     loops, left, rounds = given.where("a = b").select(F.col("a").alias("node")), given.where("a < b"), []
-    while left.limit(1).count():
+    while n := left.limit(FEW + 1).count():
+        if n <= FEW:
+            rounds.append(cut(left.select("a", "b").coalesce(1).mapInArrow(_joined, "node long, name long")))
+            break
         names, left = contract(left, len(rounds))
         rounds.append(names)
     found = given.select(F.col("a").alias("node"), F.col("b").alias("name")).limit(0)

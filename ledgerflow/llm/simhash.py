@@ -14,6 +14,7 @@ the key, and all members under one value are linked to the smallest. That is exa
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
@@ -22,6 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ledgerflow.llm.common import cut, partitions, slices
 from ledgerflow.llm.components import components
@@ -325,13 +327,13 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _posted(nodes: DataFrame) -> DataFrame:
-    """(n, key, size, doc_id, root, sig) of nodes (doc_id, root, sig): the lists with more than one root. Posting keys are again
+    """(n, key, size, doc_id, root) of nodes (doc_id, root, sig): the lists with more than one root. Posting keys are again
     four positional bytes; a pair with a similarity of 0.8 misses all KEYS lists with a chance of 3e-5."""
     at = lambda k: F.conv(F.hex(F.substring("sig", 4 * k + 1, 4)), 16, 10).cast("long")
     entries = F.array(*[F.struct(F.lit(k).alias("n"), at(k).alias("key")) for k in range(KEYS)])
     posted = nodes.select("doc_id", "root", F.explode(entries).alias("e")).select("e.n", "e.key", "doc_id", "root")
     lists = posted.groupBy("n", "key").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
-    return cut(posted.join(lists.select("n", "key", "size"), ["n", "key"])).join(nodes.select("doc_id", "sig"), "doc_id")
+    return cut(posted.join(lists.select("n", "key", "size"), ["n", "key"]))
 
 
 def _rooted(signatures: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -354,30 +356,76 @@ def leading(signatures: DataFrame, known: DataFrame | None = None) -> DataFrame:
     if known is not None:
         roots = components(known)
         degrees = known.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("degree"))
-    posted = _posted(cut(_rooted(signatures, roots)))
+    nodes = cut(_rooted(signatures, roots))
+    posted = _posted(nodes).join(nodes.select("doc_id", "sig"), "doc_id")
     posted = posted.withColumn("degree", F.lit(0)) if degrees is None else posted.join(degrees, "doc_id", "left").withColumn("degree", F.coalesce("degree", F.lit(0)))
     ordered = posted.select("n", "key", "degree", "doc_id", "sig").repartition(n, "n", "key").sortWithinPartitions("n", "key", F.desc("degree"), "doc_id")
     return ordered.select("n", "key", "doc_id", "sig").mapInArrow(_led, "a long, b long").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
+def prefix(size: int) -> int:
+    """How many of a sketch's values, in any order that all sketches share, hold one that it has in common with the same part of
+    the sketch of every text alike to its own: two sets that share `need` values cannot do so in what is behind them only."""
+    need = min((4 * size + 4) // 5, math.ceil(ESTIMATE * BOTTOM))
+    return size - need + 1
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, root, top) -> a row for each value of the sketch, with the length of its prefix."""
+    for batch in slices(batches):
+        tops = [np.frombuffer(x, "<u4") for x in batch.column("top").to_pylist()]
+        sizes = np.array([len(t) for t in tops], np.int64)
+        spread = lambda column: np.repeat(column.to_numpy(zero_copy_only=False), sizes)  # noqa: B023, E731
+        made = [spread(batch.column("doc_id")), spread(batch.column("root")), np.concatenate([*tops, np.zeros(0, "<u4")]).astype(np.int64), np.repeat(np.array([prefix(n) for n in sizes.tolist()], np.int32), sizes)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["doc_id", "root", "value", "prefix"])
+
+
+def rare_lists(members: DataFrame, tops: DataFrame) -> DataFrame:
+    """(n, key, size, doc_id, root) of members (doc_id, root) of lists that are too long to compare: lists of those that share a
+    rare value of their sketches (doc_id, top).
+
+    The values of a sketch are put in order of how many members have them, rarest first, and only its prefix is entered. What
+    very many members share, such as a license or the frame of a page, comes last and is in no prefix, unless there is hardly
+    anything else; so the lists of unlike texts are short, whatever else they have in common. n is -1 for these lists.
+    """
+    flat = cut(members.join(tops, "doc_id").select("doc_id", "root", "top").mapInArrow(_values, "doc_id long, root long, value long, prefix int"))
+    held = flat.groupBy("value").agg(F.count("*").alias("held"), F.min("root").alias("least"), F.max("root").alias("most"))
+    order = F.row_number().over(Window.partitionBy("doc_id").orderBy("held", "value"))
+    entered = cut(flat.join(held, "value").withColumn("place", order).where("place <= prefix and least <> most").select("value", "doc_id", "root"))
+    lists = entered.groupBy("value").agg(F.count("*").alias("size"), F.min("root").alias("least"), F.max("root").alias("most")).where("least <> most")
+    return entered.join(lists.select("value", "size"), "value").select(F.lit(-1).alias("n"), F.col("value").alias("key"), "size", "doc_id", "root")
+
+
+def dealt(lists: DataFrame) -> DataFrame:
+    """The members of lists (n, key, size, doc_id, …) in pieces of about PIECE, each two pieces of a list in a group (p, q) of
+    their own; side tells the piece, or is -1 where a piece meets itself. Lists of one piece, as nearly all are, cost a row a member."""
+    own = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")
+    rows = lists.withColumn("pieces", F.ceil(F.col("size") / PIECE).cast("int")).withColumn("own", own)
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
+    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
+    return rows.withColumns({"p": F.least("own", "other"), "q": F.greatest("own", "other"), "side": side}).drop("pieces", "own", "other")
+
+
 def similar(signatures: DataFrame, roots: DataFrame | None = None, sketches: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(a, b) with a < b: all documents that meet in a list and share SHARED of their positional bytes, without those that
     have the same root in roots (node, root) already, and those whose sketches are not near. sketches gives (doc_id, top) of the
     documents (doc_id) that are in lists, so that texts that are alike, but not enough, are told apart where they meet.
 
-    Lists under one root drop out. The others are dealt in pieces, and each two pieces of a list meet in a group of their own.
+    Lists under one root drop out. Members of lists longer than PIECE meet in the lists of their rare values instead. Without
+    sketches, and where a rare value is still that of very many, the pieces of a list meet two by two.
     """
     n = partitions(signatures.sparkSession)
     nodes = cut(_rooted(signatures, roots))
-    pieces = F.ceil(F.col("size") / PIECE).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")
     posted = _posted(nodes)
-    posted = posted.join(sketches(posted.select("doc_id").distinct()), "doc_id") if sketches else posted.withColumn("top", F.lit(None).cast("binary"))
-    dealt = posted.withColumn("pieces", pieces).withColumn("own", own)
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)))
-    side = F.when(F.col("own") == F.col("other"), -1).otherwise(F.col("own"))
-    dealt = dealt.select("n", "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), side.alias("side"), "doc_id", "root", "sig", "top")
-    groups = dealt.repartition(n, "n", "key", "p", "q").sortWithinPartitions("n", "key", "p", "q", "doc_id")
+    if sketches:
+        tops = sketches(posted.select("doc_id").distinct())
+        members = posted.where(F.col("size") > PIECE).select("doc_id", "root").distinct()
+        lists = posted.where(F.col("size") <= PIECE).select("n", "key", "size", "doc_id", "root").unionByName(rare_lists(members, tops))
+        lists = lists.join(tops, "doc_id")
+    else:
+        lists = posted.withColumn("top", F.lit(None).cast("binary"))
+    rows = dealt(lists.join(nodes.select("doc_id", "sig"), "doc_id")).select("n", "key", "p", "q", "side", "doc_id", "root", "sig", "top")
+    groups = rows.repartition(n, "n", "key", "p", "q").sortWithinPartitions("n", "key", "p", "q", "doc_id")
     return groups.mapInArrow(_met, "a long, b long").distinct()
 
 

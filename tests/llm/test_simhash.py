@@ -200,3 +200,51 @@ def test_sketches_tell_near_texts_apart():
         want = [simhash.alike(own, o) for o in others]
         assert got.tolist() == want if n < 1000 else (got[3:].all() and not got[:2].any())
     assert simhash._near(own[:0].astype("<u4"), [simhash.sketch(own)]).tolist() == [False]
+
+
+def licensed(r, n, license_words=150, body_words=150):
+    """n texts with one license and bodies of their own."""
+    page = [f"l{k}" for k in range(license_words)]
+    return [" ".join(page + [f"w{r.getrandbits(50):x}" for _ in range(body_words)]) for _ in range(n)]
+
+
+def test_one_license_in_unlike_texts_costs_in_proportion(spark, monkeypatch):
+    """Rows to compare, and pairs to verify, of four times the texts."""
+    monkeypatch.setattr(simhash, "PIECE", 16)
+    rows, pairs = {}, {}
+    dealt, verified = simhash.dealt, simhash.verified
+    for n in (150, 600):
+        made, seen = [], []
+        monkeypatch.setattr(simhash, "dealt", lambda lists: made.append(dealt(lists).count()) or dealt(lists))  # noqa: B023
+        monkeypatch.setattr(simhash, "verified", lambda p, *rest: seen.append(p.count()) or verified(p, *rest))  # noqa: B023
+        texts = licensed(random.Random(n), n)
+        assert simhash.keep_one(docs(spark, list(enumerate(texts)))).count() == n
+        rows[n], pairs[n] = sum(made), sum(seen)
+    assert rows[600] <= 5 * rows[150] + 600 and pairs[600] <= 5 * pairs[150] + 600, (rows, pairs)
+
+
+def test_similarity_is_decided_on_shingles_in_long_lists(spark, monkeypatch):
+    """Pairs from 0.72 to 0.88 that all share a license, so that every one of their lists is too long to compare."""
+    monkeypatch.setattr(simhash, "PIECE", 8)
+    r = random.Random(18)
+    page = " ".join(f"l{k}" for k in range(200))
+    rows, want = [], set()
+    for n in range(120):
+        a, b = (f"{page} {t}" for t in pair_at(r, (300, 330, 350, 366, 370, 374, 390, 410, 440)[n % 9], 500))
+        x, y = five(a), five(b)
+        rows += [(2 * n, a), (2 * n + 1, b)]
+        want |= {2 * n} if 5 * len(x & y) >= 4 * len(x | y) else {2 * n, 2 * n + 1}
+    assert 140 < len(want) < 230
+    assert {x.doc_id for x in simhash.keep_one(docs(spark, rows)).select("doc_id").collect()} == want
+
+
+def test_prefixes_of_alike_sketches_meet():
+    r = np.random.default_rng(3)
+    for size in (1, 2, 5, 40, 500, 821, 900):
+        base = r.permutation(1 << 20)[: 2 * size].tolist()
+        for _ in range(30):
+            gone = r.integers(0, size // 9 + 1)
+            x, y = set(base[: size - gone // 2]), set(base[gone - gone // 2 : size])
+            if 5 * len(x & y) >= 4 * len(x | y):
+                first = [set(sorted(s, key=lambda v: (v * 2654435761) % (1 << 20))[: simhash.prefix(len(s))]) for s in (x, y)]
+                assert first[0] & first[1]

@@ -12,6 +12,7 @@ from ledgerflow.operators.store import differs
 NOTICE = "Demo-only package; no human verification; do not publish."
 QUALIFIER = "Fixture metadata only; no independent or human verification."
 LIMITATION = "Доказательная база ограничена содержимым официальной ленты поставщика; независимая проверка не проводилась."
+MODEL, PROMPT_VERSION = "deepseek-v4-flash", "f1f2-story-package-v1"
 STATUSES = ("VERIFIED", "VENDOR_CLAIM", "INFERENCE", "OPINION", "UNVERIFIED")
 CONFIDENCES = ("HIGH", "MEDIUM", "LOW")
 FORMATS = ("AI_SIGNAL", "TESTED_FOR_YOU", "AI_WORKFLOW")
@@ -149,11 +150,9 @@ def draft_errors(drafts: DataFrame, content: str = "content") -> DataFrame:
     return rows.withColumn("draft", F.from_json(F.col(content), DRAFT)).drop("_answer")
 
 
-def provider_payloads(responses: DataFrame, sources: DataFrame, prompt_sha256: str) -> DataFrame:
-    """responses (story_id, attempt, finish_reason, content) -> the first valid answer's package, or the last error.
-
-    Columns: story_id, package_id, input_fingerprint, draft, repair_used, error_code.
-    """
+def judged_answers(responses: DataFrame, sources: DataFrame, prompt_sha256: str) -> DataFrame:
+    """responses (story_id, attempt, finish_reason, content) with draft, package_id, input_fingerprint and `error`, null for a valid
+    answer. Each answer is judged by itself; those about stories without a source are left out."""
     asked = provider_identities(sources, prompt_sha256).join(sources.select("id", "canonical_url"), "id")
     rows = draft_errors(responses).join(asked.select("story_id", F.col("id").alias("own_source"), "canonical_url", "input_fingerprint", "package_id"), "story_id")
     lineage = (F.col("draft.story_id") == F.col("story_id")) & (F.col("draft.source_id") == F.col("own_source")) & (F.element_at("draft.source_references", 1)["canonical_url"] == F.col("canonical_url"))
@@ -161,11 +160,38 @@ def provider_payloads(responses: DataFrame, sources: DataFrame, prompt_sha256: s
         F.when(F.col("finish_reason") == "length", "TRUNCATED").when(F.coalesce(F.trim("content"), F.lit("")) == "", "EMPTY")
         .when(F.size("errors") > 0, F.concat(F.lit("INVALID: "), F.array_join("errors", "; "))).when(~F.coalesce(lineage, F.lit(False)), "LINEAGE")
     )
-    rows = rows.withColumn("error", code).where("attempt in (1, 2)")
+    return rows.withColumn("error", code)
+
+
+def provider_payloads(responses: DataFrame, sources: DataFrame, prompt_sha256: str) -> DataFrame:
+    """responses (story_id, attempt, finish_reason, content) -> the first valid answer's package, or the last error.
+
+    Columns: story_id, package_id, input_fingerprint, draft, repair_used, error_code.
+    """
+    rows = judged_answers(responses, sources, prompt_sha256).where("attempt in (1, 2)")
     best = F.struct(F.col("error").isNotNull().alias("bad"), F.when(F.col("error").isNull(), F.col("attempt")).otherwise(-F.col("attempt")).alias("order"))
     return rows.groupBy("story_id").agg(F.min_by(F.struct("package_id", "input_fingerprint", "draft", (F.col("attempt") == 2).alias("repair_used"), F.col("error").alias("error_code")), best).alias("r")).select("story_id", "r.*")
 
 
+def provider_packages(judged: DataFrame, built_at: str = "") -> DataFrame:
+    """Valid answers (story_id, package_id, input_fingerprint, draft, repair_used; usage if known) as rows of the store's table.
+
+    usage: a struct of input_tokens, output_tokens, total_tokens and cache_hit_tokens, each a whole number or null.
+    """
+    d = lambda name: F.col(f"draft.{name}").alias(name)
+    counts = "struct<input_tokens: bigint, output_tokens: bigint, total_tokens: bigint, cache_hit_tokens: bigint>"
+    usage = F.col("usage").cast(counts) if "usage" in judged.columns else F.lit(None).cast(counts)
+    claims = F.transform("draft.claims", lambda c: F.struct(*[c[k].alias(k) for k in sorted(CLAIM_KEYS)]))
+    references = F.transform("draft.source_references", lambda r: F.struct(r["canonical_url"].alias("canonical_url"), r["source_id"].alias("source_id")))
+    generator = F.struct(F.lit("openai-chat-completions").alias("api_format"), F.lit(MODEL).alias("model"), F.lit("deepseek").alias("provider"), F.lit(0.2).alias("temperature"), F.lit("disabled").alias("thinking"))
+    spent = F.struct(usage["cache_hit_tokens"].alias("cache_hit_tokens"), usage["input_tokens"].alias("input_tokens"), usage["output_tokens"].alias("output_tokens"), F.col("repair_used").alias("repair_used"), usage["total_tokens"].alias("total_tokens"))
+    payload = text.canonical_json(
+        claims.alias("claims"), d("demonstration_plan"), d("editorial_angle"), d("editorial_format"), generator.alias("generator"), F.col("input_fingerprint"), d("limitations"), d("one_sentence_fact"), F.col("package_id"),
+        F.lit(PROMPT_VERSION).alias("prompt_version"), d("publication_verdict"), F.lit(2).alias("schema_version"), d("source_id"), references.alias("source_references"), d("story_id"), spent.alias("usage_metadata"), d("why_it_matters"), d("working_title"),
+    )
+    return judged.select("package_id", "story_id", F.lit(2).alias("schema_version"), F.lit("deepseek").alias("generator_name"), F.lit(MODEL).alias("generator_version"), "input_fingerprint", payload.alias("payload_json"), F.lit(built_at).alias("built_at"))
+
+
 def allowed_claims(claims: Column) -> Column:
     return F.filter(claims, lambda c: c["use_in_script"] & (c["status"] != "UNVERIFIED"))
 

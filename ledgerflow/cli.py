@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ledgerflow.operators import packages, scripts, store
 from ledgerflow.session import session, ship
-from ledgerflow.sources import export_sink, feeds, sinks
+from ledgerflow.sources import export_sink, feeds, script_files, sinks
 from ledgerflow.sources.files import Refused
 
 
@@ -106,12 +106,16 @@ def run(args: argparse.Namespace, spark) -> list[str]:
     if found.generator_name == "mock":
         raise Refused("E_SCRIPT_PACKAGE", "a demo package gives no script")
     draft = one.withColumn("p", F.from_json("payload_json", packages.DRAFT)).select("package_id", "payload_json", "p.*")
-    made = scripts.with_identity(scripts.compose(draft)).first()
-    if made.error_code or made.publication_verdict in ("HOLD", "REJECT"):
-        raise Refused(made.error_code or "E_SCRIPT_PACKAGE", "the package gives no script")
-    value = {"script_id": made.script_id, "package_id": made.package_id, "story_id": args.story, "working_title": made.script_title, "hook": made.hook, "spoken_text": made.spoken_text, "word_count": made.word_count, "scenes": [s.asDict() for s in made.scenes], "limitations": made.limitations, "caption": scripts.CAPTION}
-    changed = sinks.write_once(out / f"{made.script_id}.json", sinks.pretty(value), "E_SCRIPT_CONFLICT")
-    return [json.dumps({"script_id": made.script_id, "created": changed})]
+    made = script_files.finished(scripts.with_identity(scripts.compose(draft)))
+    one_script = made.first()
+    if one_script.error_code or found_verdict(draft) in ("HOLD", "REJECT"):
+        raise Refused(one_script.error_code or "E_SCRIPT_VERDICT", "the package gives no script")
+    written, _ = script_files.write(made, str(out))
+    return [json.dumps({"script_id": one_script.script_id, "created": bool(written)})]
+
+
+def found_verdict(draft) -> str:
+    return draft.select("publication_verdict").first()[0]
 
 
 def main(argv: list[str] | None = None) -> int:

@@ -17,7 +17,7 @@ from ledgerflow import schemas
 from ledgerflow.functions import identity, redaction, text, web
 from ledgerflow.operators import blinding, digests, experiment, ledger, packages, scripts, statistics, store, timing
 from ledgerflow.session import cuts_dir, table
-from ledgerflow.sources import export_sink, feeds, sinks
+from ledgerflow.sources import export_sink, feeds, script_files, sinks
 from ledgerflow.sources.feed_source import FeedSource
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -765,6 +765,18 @@ def script_compose(spark, sf_dir):
     return s.select("conv_id", F.size("scenes").cast("long").alias("n_scenes"), "spoken_text", "word_count", "error_code")
 
 
+@query(f"""with {_COMPOSE}, t as (select conv_id, count(*) as scenes, string_agg(narration, ' ' order by o) as spoken_text from scenes group by conv_id), w as (select *, {_words("spoken_text")} as n from t)
+select {_short("pkg_", "conv_id::varchar")} as package_id, spoken_text, n::integer as word_count, scenes::integer as n_scenes from w where n between 90 and 170 and scenes between 5 and 8""")
+def script_files_reload(spark, sf_dir):
+    """Scripts written as pairs of files and read back, all of them valid."""
+    rows = _packages(spark, sf_dir).where(F.exists("claims", lambda c: c["use_in_script"] & (c["status"] != "UNVERIFIED")))
+    rows = rows.withColumns({"package_id": identity.short("pkg_", F.col("conv_id").cast("string")), "story_id": identity.short("story_", F.col("conv_id").cast("string")), "payload_json": F.to_json(F.struct("conv_id", "claims"))})
+    out = f"{cuts_dir(spark)}/scripts-{uuid.uuid4().hex}"
+    script_files.write(script_files.finished(scripts.with_identity(scripts.compose(rows))), out)
+    stored = script_files.load(spark.read.format("binaryFile").option("pathGlobFilter", "script_*.json").load(out))
+    return stored.where("error_code is null").select("package_id", "spoken_text", "word_count", F.size("scenes").alias("n_scenes"))
+
+
 @query(f"with {_COMPOSE} select conv_id, k::bigint as n_padding from pads")
 def script_padding(spark, sf_dir):
     s = scripts.compose(_packages(spark, sf_dir).where(F.exists("claims", lambda c: c["use_in_script"] & (c["status"] != "UNVERIFIED"))))

@@ -24,7 +24,9 @@ from ledgerflow.llm.common import cut, partitions
 
 K = 32
 REVERSE = 32
-ORDERS, RUN, PLANES = 4, 1024, 8
+ORDERS, RUN, PLANES = 4, 256, 8
+#: Rows of the orders in one task.
+ROWS_A_TASK = 8192
 #: Rounds end when fewer than this share of all neighbours are new, or after so many.
 CHANGED, ROUNDS = 0.01, 6
 BEAM, STEP = 192, 64
@@ -213,7 +215,7 @@ def graph(nodes: DataFrame, rounds: int | None = None) -> DataFrame:
     """(u, v, d): each node's K nearest found, nearest first. nodes: what rounded() gives, already cut."""
     count = nodes.count()
     placed = nodes.select("id", "q", F.posexplode("keys").alias("tree", "key"))
-    n = max(1, -(-count * ORDERS // (8 * RUN)))
+    n = max(1, -(-count * ORDERS // ROWS_A_TASK))
     ordered = placed.repartitionByRange(n, "tree", "key").sortWithinPartitions("tree", "key", "id")
     lists = cut(_top(ordered.select("tree", "id", "q").mapInArrow(_runs, _EDGE), K))
     for i in range(ROUNDS if rounds is None else rounds):

@@ -38,6 +38,20 @@ def test_small_tables_are_exact(spark):
     assert all(abs(a - b) < 1e-12 for k in want for (a, _), (b, _) in zip(got[k], want[k], strict=True))
 
 
+def test_the_rounds_decide_on_small_tables_too(spark, monkeypatch):
+    """Runs are smaller than the table: without rounds neighbours are missed, with them they are found."""
+    rng = np.random.default_rng(21)
+    rows = [(i, [float(x) for x in np.float32(rng.normal(size=48))]) for i in range(1500)]
+    want = brute(rows, 25)
+    recall = {}
+    for rounds in (0, neighbours.ROUNDS):
+        monkeypatch.setattr(neighbours, "ROUNDS", rounds)
+        monkeypatch.setattr(neighbours, "BEAM", 32)
+        got = answers(neighbours.nearest(frame(spark, rows), every=25))
+        recall[rounds] = sum(len({j for _, j in got[k]} & {j for _, j in v}) for k, v in want.items()) / (10 * len(want))
+    assert recall[0] < recall[neighbours.ROUNDS] and recall[neighbours.ROUNDS] > 0.95, recall
+
+
 def test_few_or_no_rows(spark):
     for n in (0, 1, 2, 5):
         rows = [(i * 100, [1.0, float(i)]) for i in range(n)]

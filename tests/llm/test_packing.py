@@ -112,3 +112,24 @@ def test_round_trip(spark):
     n = check(spark, rows)
     tokens = sum(i * 37 % 1500 + (2 if i * 37 % 1500 else 1) for i in range(800))
     assert tokens / (n * 2048) > 0.95
+
+
+def test_runs_of_blanks_of_any_length():
+    """Ids are the library's around the length from which it does them itself, and quadratic time is out of reach."""
+    import time
+
+    from tokenizers import Tokenizer
+
+    path = packing.default_tokenizer()
+    encode, exact = packing.encoder(path), Tokenizer.from_file(path)
+    encode("warm"), exact.encode("warm")
+    for run in (1, 2, packing.MOST_BLANKS - 1, packing.MOST_BLANKS, packing.MOST_BLANKS + 1, 9_999):
+        for blanks in (" ", "\n", "\t ", " \n\n"):
+            text = ((blanks * run)[:run] + "a") * max(3, 20_000 // run)
+            assert encode(text) == exact.encode(text, add_special_tokens=False).ids
+    text = (" " * 9_999 + "a") * 40
+    began = time.perf_counter()
+    exact.encode(text, add_special_tokens=False)
+    library = time.perf_counter() - began
+    encode(text)
+    assert time.perf_counter() - began - library < 4 * library + 0.5

@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -40,13 +40,23 @@ def strip(x: Column) -> Column:
     return F.btrim(x, F.lit(BLANKS))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 64) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most `rows` rows: what Python makes of them stays small however long a batch is."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, rows):
+            yield batch.slice(i, rows)
+
+
 def mapped(f: Callable[[str | None], str | None], x: Column) -> Column:
-    """A Python function of one text, sent in Arrow batches; null stays null."""
+    """A Python function of one text, sent in Arrow batches and taken from them in parts; null stays null."""
 
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda v: None if v is None else f(v))
+    def run(values: pa.Array) -> pa.Array:
+        parts = (values.slice(i, 256).to_pylist() for i in range(0, len(values), 256))
+        made = [pa.array([None if v is None else f(v) for v in part], pa.string()) for part in parts]
+        return pa.concat_arrays(made) if made else pa.array([], pa.string())
 
-    return F.pandas_udf(run, "string")(x)
+    run.__annotations__ = {"values": pa.Array, "return": pa.Array}  # Spark reads types, not their names
+    return F.arrow_udf(run, "string")(x)
 
 
 def _composed(value: str) -> str:

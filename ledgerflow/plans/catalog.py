@@ -16,7 +16,7 @@ from pyspark.sql.window import Window
 from ledgerflow import schemas
 from ledgerflow.functions import identity, redaction, text, web
 from ledgerflow.operators import blinding, digests, experiment, ledger, packages, scripts, statistics, store, timing
-from ledgerflow.session import cuts_dir, table
+from ledgerflow.session import cut, cuts_dir, table
 from ledgerflow.sources import export_sink, feeds, script_files, sinks
 from ledgerflow.sources.feed_source import FeedSource
 
@@ -351,11 +351,11 @@ f as (select package_id || '.json' as name, json as content from p union all sel
 select name, strlen(content)::bigint as length, sha256(content) as sha256 from f""")
 def package_exports(spark, sf_dir):
     """All packages exported as pairs of files, all at once, and the files that are there then."""
-    p = packages.mock_packages(store.first_wins(_snapshots(spark, sf_dir)))
+    p = cut(packages.mock_packages(store.first_wins(_snapshots(spark, sf_dir))).select("package_id", "generator_name", "payload_json"))
     out = f"{cuts_dir(spark)}/exports-{uuid.uuid4().hex}"
-    export_sink.export(export_sink.package_groups(p), out)
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "pkg_*").load(out)
-    return files.select(F.regexp_extract("path", "([^/]+)$", 1).alias("name"), "length", F.sha2("content", 256).alias("sha256"))
+    export_sink.export(export_sink.package_groups(p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "package_id")), out)
+    names = p.select(F.explode(F.array(*[F.concat("package_id", F.lit(ending)) for ending in (".json", ".md")])).alias("name"))
+    return export_sink.read(names, out).select("name", "length", F.sha2("content", 256).alias("sha256"))
 
 
 _BROKEN = {  # rule: the answers (doc_id % 24) that break it; 22 is no JSON, 23 breaks none
@@ -772,8 +772,10 @@ def script_files_reload(spark, sf_dir):
     rows = _packages(spark, sf_dir).where(F.exists("claims", lambda c: c["use_in_script"] & (c["status"] != "UNVERIFIED")))
     rows = rows.withColumns({"package_id": identity.short("pkg_", F.col("conv_id").cast("string")), "story_id": identity.short("story_", F.col("conv_id").cast("string")), "payload_json": F.to_json(F.struct("conv_id", "claims"))})
     out = f"{cuts_dir(spark)}/scripts-{uuid.uuid4().hex}"
-    script_files.write(script_files.finished(scripts.with_identity(scripts.compose(rows))), out)
-    stored = script_files.load(spark.read.format("binaryFile").option("pathGlobFilter", "script_*.json").load(out))
+    done = cut(script_files.finished(scripts.with_identity(scripts.compose(rows))))
+    script_files.write(done, out)
+    names = done.where("error_code is null").select(F.concat("script_id", F.lit(".json")).alias("name"))
+    stored = script_files.load(export_sink.read(names, out).withColumnRenamed("name", "path"))
     return stored.where("error_code is null").select("package_id", "spoken_text", "word_count", F.size("scenes").alias("n_scenes"))
 
 

@@ -1,6 +1,8 @@
 import json
+import pickle
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -101,3 +103,27 @@ def test_package_files(spark):
     assert set(got) == {"pkg_1.json", "pkg_1.md", "pkg_2.json", "pkg_2.md"}
     assert json.loads(got["pkg_1.json"])["claims"][0]["source_ids"] == ["a", "b"] and got["pkg_2.json"].index("claim_1") < got["pkg_2.json"].index("claim_2")
     assert "Story title: T\\*" in got["pkg_1.md"] and "Generation mode: DEEPSEEK" in got["pkg_2.md"] and "Output tokens: null" in got["pkg_2.md"]
+
+
+def test_what_reaches_the_driver_does_not_grow_with_the_files(tmp_path):
+    many = [{"files": [{"name": f"sub/p{i}.json", "content": b"j"}, {"name": f"p{i}.md", "content": b"m"}]} for i in range(1500)]
+    batch = pa.RecordBatch.from_pylist(many, pa.schema([("files", pa.list_(pa.struct([("name", pa.string()), ("content", pa.binary())])))]))
+    writer = export_sink.ExportWriter({"path": str(tmp_path), "job": "j", "finish": "false"})
+    message = writer.write(iter([batch]))
+    assert message.written == 3000 and len(pickle.dumps(message)) < 1000
+    writer.commit([message, None])
+    assert not (tmp_path / "p7.md").exists() and len((tmp_path / "_export-j" / "DECISION").read_bytes()) < 100  # decided, not finished
+    assert export_sink.recover(str(tmp_path)) == 1 and len(files(tmp_path)) == 3000 and files(tmp_path)["sub/p7.json"] == "j"
+
+
+def test_names_twice_in_different_tasks_are_counted(spark, tmp_path):
+    with pytest.raises(Refused) as e:
+        export(groups(spark, *MANY, *MANY[:2]), str(tmp_path))
+    assert e.value.code == "E_EXPORT_CONFLICT" and "4 files, such as p0.json, p0.md, p1.json, p1.md" in str(e.value) and files(tmp_path) == {}
+
+
+def test_read_gives_the_files_that_are_there(spark, tmp_path):
+    export(groups(spark, *MANY), str(tmp_path))
+    names = spark.createDataFrame([(n,) for n in ("p3.json", "p4.md", "none")], "name string")
+    assert sorted((r.name, r.length, bytes(r.content)) for r in export_sink.read(names, str(tmp_path)).collect()) == [("p3.json", 2, b"j3"), ("p4.md", 2, b"m4")]
+    assert export_sink.read(names.limit(0), str(tmp_path)).count() == 0

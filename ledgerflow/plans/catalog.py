@@ -353,7 +353,7 @@ def package_exports(spark, sf_dir):
     """All packages exported as pairs of files, all at once, and the files that are there then."""
     p = cut(packages.mock_packages(store.first_wins(_snapshots(spark, sf_dir))).select("package_id", "generator_name", "payload_json"))
     out = f"{cuts_dir(spark)}/exports-{uuid.uuid4().hex}"
-    export_sink.export(export_sink.package_groups(p.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "package_id")), out)
+    export_sink.export(export_sink.package_groups(p.repartition("package_id")), out)
     names = p.select(F.explode(F.array(*[F.concat("package_id", F.lit(ending)) for ending in (".json", ".md")])).alias("name"))
     return export_sink.read(names, out).select("name", "length", F.sha2("content", 256).alias("sha256"))
 

@@ -296,8 +296,7 @@ def read(names: DataFrame, path: str) -> DataFrame:
         if held:
             yield made(held)
 
-    partitions = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return names.select("name").repartition(partitions, "name").mapInArrow(run, "name string, length long, content binary")
+    return names.select("name").repartition("name").mapInArrow(run, "name string, length long, content binary")
 
 
 def export(groups: DataFrame, path: str, force: bool = False) -> tuple[int, int]:

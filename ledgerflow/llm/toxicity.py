@@ -10,8 +10,9 @@ are made from it, the quality label and the text, and serve the last.
 
 from __future__ import annotations
 
+import pickle
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -104,7 +105,29 @@ def predict_linear(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ w[:-1] + w[-1], -30, 30)))
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, away: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
+class Folds(Sequence):
+    """For each fold which rows are in it, and features and labels of all rows as they are made without those rows. A fold's table
+    is as large as that of all rows, so each is made when it is asked for, and none is kept."""
+
+    def __init__(self, folds: int, make: Callable[[int], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+        self.folds, self.make = folds, make
+
+    def __len__(self) -> int:
+        return self.folds
+
+    def __getitem__(self, f: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        return self.make(range(self.folds)[f])
+
+
+def _of_fold(own: np.ndarray, x: np.ndarray, labels: np.ndarray, probs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows are in the fold, and their probabilities by a model of the others."""
+    if not own.any():
+        return own, np.zeros(0, x.dtype)
+    seen = np.hstack((x, probs))
+    return own, predict_linear(seen[own], fit_linear(seen[~own], labels[~own]))
+
+
+def fit_chain(x: np.ndarray, labels: np.ndarray, away: Sequence[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> list[np.ndarray]:
     """A model for each column of labels; each sees the features and the out-of-fold probabilities of those before it.
 
     away: for each fold which rows are in it, and features and labels of all rows as they are made without those rows.
@@ -114,10 +137,10 @@ def fit_chain(x: np.ndarray, labels: np.ndarray, away: list[tuple[np.ndarray, np
         models.append(fit_linear(np.hstack((x, probs)), labels[:, k]))
         if k + 1 < labels.shape[1]:
             out = np.zeros((len(x), 1), x.dtype)
-            for own, fold_x, fold_labels in away:
-                seen = np.hstack((fold_x, probs))
-                if own.any():
-                    out[own, 0] = predict_linear(seen[own], fit_linear(seen[~own], fold_labels[~own, k]))
+            for f in range(len(away)):
+                own, fold_x, fold_labels = away[f]
+                own, out[own, 0] = _of_fold(own, fold_x, fold_labels[:, k], probs)
+                del fold_x  # before the next one is made
             probs = np.hstack((probs, out))
     return models
 
@@ -174,18 +197,31 @@ def fitted(features: list[np.ndarray], counts: list[np.ndarray], words: np.ndarr
         return {"selected": selected, "models": []}
     everything = np.ones(len(toxic), bool)
     x = _table(features, counts, words, selected)
-    fold, away = np.arange(len(toxic)) % folds, []
-    for f in range(folds):
+    fold = np.arange(len(toxic)) % folds
+
+    def without(f: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         own = fold == f
         kept = select([v for v, o in zip(features, own, strict=True) if not o], toxic[~own])
         fold_x = _table(features, counts, words, kept)
-        away.append((own, fold_x, _categories(fold_x, toxic, low, ~own)))
-    return {"selected": selected, "models": fit_chain(x, _categories(x, toxic, low, everything), away)}
+        return own, fold_x, _categories(fold_x, toxic, low, ~own)
+
+    return {"selected": selected, "models": fit_chain(x, _categories(x, toxic, low, everything), Folds(folds, without))}
+
+
+def _learned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counted rows of the sample -> one row, the model."""
+    rows = list(batches)
+    column = lambda c: [x for b in rows for x in b.column(c).to_pylist()]
+    each = lambda c, dtype: [v for b in rows for v in views(pa.chunked_array([b.column(c)]), dtype)]
+    toxic = (np.array(column("toxic"), np.int64) > 0).astype(np.int64)
+    low = np.array(column("quality"), np.int64) <= 0
+    model = fitted(each("features", "<i4"), each("counts", "u1"), np.array(column("words"), np.float64), toxic, low)
+    yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], names=["model"])
 
 
 def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, clean_rows: int = SAMPLE_CLEAN) -> dict:
-    """The selected features and the chain's models. The driver gets hashed counts of the bounded sample, whatever rows share an
-    id."""
+    """The selected features and the chain's models. One task gets hashed counts of the bounded sample, whatever rows share an id;
+    the driver gets the model, a few dozen KB."""
     known = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"), F.coalesce(F.min("quality"), F.lit(1)).cast("int").alias("quality"))
     known = known.withColumn("o", F.xxhash64("doc_id"))
     first = known.where("toxic > 0").orderBy("o", "doc_id").limit(toxic_rows)
@@ -193,10 +229,10 @@ def learn(docs: DataFrame, labels: DataFrame, toxic_rows: int = SAMPLE_TOXIC, cl
     rows = docs.select("doc_id", "text").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= MOST_BYTES).join(F.broadcast(sample), "doc_id")
     kind = rows.schema["doc_id"].dataType.simpleString()
     counted = rows.select("doc_id", F.xxhash64("text").alias("h"), "toxic", "quality", "text").mapInArrow(_counted, f"doc_id {kind}, h long, toxic int, quality int, n long, features binary, counts binary, words long")
-    got = bounded(counted, MOST_FEATURES).toArrow()  # in the order of the ids' hashes, so folds do not depend on row order
-    toxic = (np.array(got.column("toxic").to_pylist(), np.int64) > 0).astype(np.int64)
-    low = np.array(got.column("quality").to_pylist(), np.int64) <= 0
-    return fitted(views(got.column("features"), "<i4"), views(got.column("counts"), "u1"), np.array(got.column("words").to_pylist(), np.float64), toxic, low)
+    # in the order of the ids' hashes, so folds do not depend on row order
+    sample = bounded(counted, MOST_FEATURES).repartition(1).sortWithinPartitions(F.xxhash64("doc_id"), "doc_id")
+    got = sample.select("toxic", "quality", "features", "counts", "words").mapInArrow(_learned, "model binary").collect()
+    return pickle.loads(got[0].model) if got else {"selected": {}, "models": []}
 
 
 def probabilities(docs: DataFrame, model: dict, keep: list[str] | None = None) -> DataFrame:

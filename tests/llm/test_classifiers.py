@@ -1,5 +1,7 @@
 import itertools
 import math
+import pickle
+import tracemalloc
 
 import numpy as np
 import pandas as pd
@@ -139,6 +141,30 @@ def test_learned_rows_are_bounded(spark):
     assert set(quality.learn(rows, labels)) == {"theta", "trans", "curve"} and len(toxicity.learn(rows, labels)["models"]) == 3
 
 
+def test_toxicity_is_learned_in_a_task(spark, monkeypatch):
+    """The driver gets the model only: none of what learning takes runs or is held there."""
+    d, labels = tables(spark)
+    for name in ("fitted", "views", "select"):
+        monkeypatch.setattr(toxicity, name, None)
+    model = toxicity.learn(d, labels)
+    assert len(model["models"]) == 3 and 0 < len(model["selected"]) <= toxicity.SELECTED and len(pickle.dumps(model)) < 100_000
+
+
+def test_tables_of_folds_are_not_held_together(monkeypatch):
+    """What learning holds at once is under six tables of all rows; with those of all five folds it was over eight."""
+    monkeypatch.setattr(toxicity, "BUCKETS", 4096)
+    monkeypatch.setattr(toxicity, "fit_linear", lambda x, y: np.zeros(x.shape[1] + 1, np.float32))
+    toxic = (np.arange(2000) % 2).astype(np.int64)
+    features = [np.arange(1200 * t, 1200 * t + 1200, dtype="<i4") for t in toxic]
+    counts = [np.ones(1200, np.uint8)] * 2000
+    tracemalloc.start()
+    model = toxicity.fitted(features, counts, np.full(2000, 50.0), toxic, toxic > 0)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(model["selected"]) == 1200 and len(model["models"]) == 3
+    assert peak < 6 * 2000 * 1200 * 4
+
+
 def test_edges(spark):
     labels = spark.createDataFrame([(1, 1, 0), (4, 0, 1), (4, 1, 0), (None, 0, 1), (9, None, None), (77, 1, 1), (2, 1, 0)], "doc_id long, quality int, toxic int")
     none = labels.limit(0)
